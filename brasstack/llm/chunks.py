@@ -64,3 +64,25 @@ class WordBPE:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         ids = self.known.__getitem__
         return [b"".join(map(ids, (t or "").encode("utf-8", "replace").split())) for t in texts]
+
+
+_WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+class ByteBPE:
+    """Token counts of the byte-level vocabulary, as len(encode_ordinary(text)) gives them."""
+
+    SPLIT = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
+
+    def __init__(self, path: str, pattern: str, keep: int = KEEP):
+        import base64
+
+        import tiktoken
+
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+        enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.known = _Known(lambda c: len(enc.encode_ordinary(c)), 2 * keep)
+
+    def counts(self, texts: list[str | None]) -> list[int]:
+        n = self.known.__getitem__
+        return [sum(map(n, self.SPLIT.findall(t or ""))) for t in texts]

@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 from .exact_dedup import OP5_SQL, op5_exact_dedup
+from .line_dedup import op10_line_dedup
 from .packing import op7_packing
+from .quality_model import op2_quality_model
 from .quality_rules import op8_quality_rules
+from .sample_pieces import op9_sample_pieces
 from .secrets import op6_secret_scan
 from .simhash import op4_simhash
+from .token_counts import op3_token_counts
+from .toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op4_simhash, op5_exact_dedup, op6_secret_scan, op7_packing, op8_quality_rules)}
+QUERIES = {f.__name__: f for f in (
+    op1_toxicity, op2_quality_model, op3_token_counts, op4_simhash, op5_exact_dedup, op6_secret_scan,
+    op7_packing, op8_quality_rules, op9_sample_pieces, op10_line_dedup)}
 SQL = {"op5_exact_dedup": OP5_SQL}
