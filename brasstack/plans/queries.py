@@ -254,17 +254,22 @@ def goals(spark, sf):
 _TOK = r"""list_distinct(list_transform(list_filter(regexp_split_to_array(text, '[\s\x{00A0}\x{0085}\x{2000}-\x{200A}]+'), lambda w: length(w) > 2), lambda w: trim(lower(w), '.,;:!?"''()[]{}')))"""
 
 
-@query(f"""WITH g AS (SELECT conv_id * 1000 + turn AS ord, {_TOK} AS t FROM {{conversations}}) SELECT * FROM (SELECT x.ord AS a, y.ord AS b, len(list_intersect(x.t, y.t)) / (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t))) AS similarity
-  FROM g x JOIN g y ON x.ord < y.ord AND len(x.t) > 0 AND len(y.t) > 0) WHERE similarity >= 0.65""")
+@query(f"""WITH g AS (SELECT doc_id, {_TOK} AS t FROM {{documents}}), w AS (SELECT doc_id, len(t) AS n, unnest(t) AS tok FROM g),
+  m AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k, any_value(x.n) AS na, any_value(y.n) AS nb FROM w x JOIN w y ON x.tok = y.tok AND x.doc_id < y.doc_id GROUP BY 1, 2)
+  SELECT a, b, k / (na + nb - k) AS similarity FROM m WHERE k / (na + nb - k) >= 0.65""")
 def jaccard_pairs(spark, sf):
-    return dedup.jaccard_pairs(goals(spark, sf))
+    return dedup.jaccard_pairs(read(spark, sf, "documents").select(F.col("doc_id").alias("ord"), "text"))
 
 
 @query()
 def dedup_greedy(spark, sf):
-    g = goals(spark, sf)
-    pairs = dedup.jaccard_pairs(g).select("a", "b").unionAll(dedup.ratio_pairs(g).select("a", "b"))
-    return dedup.greedy(g, pairs)
+    items = read(spark, sf, "documents").select(F.col("doc_id").alias("ord"), "text")
+    return dedup.greedy(items, dedup.jaccard_pairs(items)).select("ord")
+
+
+@query()
+def sequence_ratio_pairs(spark, sf):
+    return dedup.ratio_pairs(goals(spark, sf))
 
 
 # Fixed values of the test fixture: price keys in order.
