@@ -120,7 +120,7 @@ def learn(docs: DataFrame) -> tuple[np.ndarray, float, dict]:
 def quality(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, score (0 to 1, higher is better), kept (score of 0.5 or more).
 
-    Null texts are empty texts, which the labellers vote down; null ids are scored but not learnt from; repeated rows
+    Null texts are empty texts, of score 0; null ids are scored but not learnt from; repeated rows
     each get their row; an empty table gives no rows; other columns are not read.
     """
     w, b, _ = learn(docs)
@@ -129,7 +129,8 @@ def quality(docs: DataFrame) -> DataFrame:
     def run(batches):
         shapes = Shapes()
         for batch in batches:
-            s = np.array([b + sum(w.get(k, 0.0) * v for k, v in measure(t, shapes)[1].items()) for t in batch.column("text").to_pylist()], float)
+            found = (measure(t, shapes)[1] if t and not t.isspace() else None for t in batch.column("text").to_pylist())
+            s = np.array([b + sum(w.get(k, 0.0) * v for k, v in f.items()) if f else -60.0 for f in found], float)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(s, -60, 60))))], names=["doc_id", "score"])
 
     out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
