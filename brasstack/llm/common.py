@@ -36,6 +36,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted_broadcast(df: DataFrame) -> DataFrame:
+    """A written table of a few narrow columns, marked for broadcast only if it has BROADCAST_ROWS rows at most."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def long_id(col: str = "doc_id"):
     return F.coalesce(F.col(col).cast("long"), F.lit(NO_ID))
 

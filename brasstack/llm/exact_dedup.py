@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import back, cut, long_id, table
+from .common import back, counted_broadcast, cut, long_id, table
 
 #: Runs that one merge takes.
 FAN_IN = 8
@@ -117,15 +117,17 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def drop_exact(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns; texts move once, dealt by id."""
-    lost = exact_dedup(docs).filter("not kept").select(long_id().alias("_id"), F.unhex("text_sha256").alias("_sha"))
-    lost = cut(lost.groupBy("_id", "_sha").count().withColumnRenamed("count", "_lost"), "lost")
+    """The rows of docs that stay, with all their columns. Few lost rows are broadcast once counted, else both sides are shuffled by id."""
+    found = exact_dedup(docs).select(long_id().alias("_id"), F.unhex("text_sha256").alias("_sha"), "kept")
+    lost = cut(found.filter("not kept").select("_id", "_sha").distinct(), "lost")
     marked = docs.withColumns({"_id": long_id(), "_sha": F.unhex(F.sha2(normalised(), 256))})
-    joined = marked.join(lost, ["_id", "_sha"], "left")
-    # rows that repeat id and text: all but one are lost when the group's kept row is among them
-    nth = F.row_number().over(Window.partitionBy("_id", "_sha").orderBy("_id"))
-    total = F.count(F.lit(1)).over(Window.partitionBy("_id", "_sha"))
-    return joined.withColumns({"_nth": nth, "_all": total}).filter("_nth <= _all - coalesce(_lost, 0)").select(*docs.columns)
+    on = ["_id", "_sha"]
+    out = marked.join(counted_broadcast(lost), on, "left_anti")
+    # rows that repeat the id and text of one that stays: one of them stays
+    twice = cut(found.groupBy(*on).agg(F.count_if("kept").alias("k"), F.count(F.lit(1)).alias("n")).filter("k > 0 AND n > k").select(*on), "twice")
+    if not twice.isEmpty():
+        out = out.unionByName(marked.join(counted_broadcast(twice), on, "left_semi").dropDuplicates(on).select(*out.columns))
+    return out.select(*docs.columns)
 
 
 def op5_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, back, cut, long_id, small_batches, table
+from .common import BROADCAST_ROWS, back, counted_broadcast, cut, long_id, small_batches, table
 
 BITS = 2
 WORDS = 3
@@ -194,10 +194,14 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose id is the smallest of its component, with all their columns."""
-    stay = near_dedup(docs).filter("doc_id <=> component_id").select(long_id().alias("_id")).distinct()
-    marked = docs.withColumn("_id", long_id())
-    return marked.join(cut(stay, "stay"), "_id", "left_semi").select(*docs.columns)
+    """The rows of docs whose id is the smallest of its component, with all their columns.
+
+    Few lost ids are broadcast once counted, else both sides are shuffled by id. An id that repeats with another text
+    stays if one of its rows is the smallest of a component.
+    """
+    found = near_dedup(docs).select(long_id().alias("_id"), F.expr("doc_id <=> component_id").alias("stays"))
+    lost = found.groupBy("_id").agg(F.bool_or("stays").alias("stays")).filter("not stays").select("_id")
+    return docs.withColumn("_id", long_id()).join(counted_broadcast(cut(lost, "lost")), "_id", "left_anti").select(*docs.columns)
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
