@@ -311,3 +311,12 @@ def test_dawid_skene_finds_the_poor_labeller():
     patterns, n = np.unique(v, axis=0, return_counts=True)
     post, rates, prior = weak.dawid_skene(patterns, n)
     assert abs(prior - 0.7) < 0.05 and [round(float(rates[1, j, 1]), 1) for j in range(4)] == pytest.approx(acc, abs=0.06)
+
+
+def test_units_solved_at_once_equal_single_ones():
+    m, one = (sample_pieces.Pieces(sample_pieces.piece_model()) for _ in range(2))
+    some = ["Hello   world", "é漢字\n\n x\0y 🙂", "ab" * 90, " a     b", "", None, *texts()[:20]]
+    m.meet(some)
+    for u in {u for t in some for u in sample_pieces.units(t or "")}:
+        a, b = m.unit(u), one.unit(u)
+        assert a[1:] == b[1:] and a[0] == pytest.approx(b[0], abs=1e-9)
