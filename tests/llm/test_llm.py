@@ -316,7 +316,29 @@ def test_dawid_skene_finds_the_poor_labeller():
 def test_units_solved_at_once_equal_single_ones():
     m, one = (sample_pieces.Pieces(sample_pieces.piece_model()) for _ in range(2))
     some = ["Hello   world", "é漢字\n\n x\0y 🙂", "ab" * 90, " a     b", "", None, *texts()[:20]]
-    m.meet(some)
+    m.meet([sample_pieces.units(t or "") for t in some])
     for u in {u for t in some for u in sample_pieces.units(t or "")}:
         a, b = m.unit(u), one.unit(u)
         assert a[1:] == b[1:] and a[0] == pytest.approx(b[0], abs=1e-9)
+
+
+def test_other_ways_follow_the_lattice(monkeypatch):
+    monkeypatch.setattr(sample_pieces, "TEMPER", 0.5)
+    m = sample_pieces.Pieces(sample_pieces.piece_model())
+    lat = m.lattice("▁cats")
+    got = m.others(["▁cats", "▁cats漢"] * 4000, [(i + 0.5) / 8000 for i in range(8000)])
+    best = tuple(lat.likeliest())
+    seen = Counter(tuple(np.frombuffer(e, "<u4").tolist()) for e, _, _ in got[::2])
+    assert best not in seen
+    for way, k in seen.items():
+        assert k / 4000 == pytest.approx(np.exp(lat.log_prob(list(way))) / (1 - np.exp(lat.log_prob(list(best)))), abs=0.001)
+    for e, ids, lp in got[::2]:
+        path = np.frombuffer(e, "<u4").tolist()
+        assert ids == lat.ids(path) and lp == pytest.approx(lat.log_prob(path), abs=1e-9)
+    assert all(m.decode(ids) == "cats漢" for _, ids, _ in got[1::2])
+
+
+def test_searches_in_step_equal_single_ones():
+    m, one = (sample_pieces.Pieces(sample_pieces.piece_model()) for _ in range(2))
+    some = [*texts()[:12], None, "", "x" * 200]
+    assert sample_pieces.top_ks(some, list(range(15)), 3, m) == [sample_pieces.top_k(t, i, 3, one) for i, t in enumerate(some)]
