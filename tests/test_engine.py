@@ -101,6 +101,30 @@ def test_pairs_equal_brute_force(spark):
     assert {(i, 40 + i) for i in range(10)} <= near.keys()
 
 
+def test_ratio_pairs_are_complete(spark):
+    rng = random.Random(2)
+    slots = [f"{a}{b}{c}" for a in "bdgkmp" for b in "aeiou" for c in ("rst", "lnd", "xy", "qu")]
+    frame = "the common frame of every one of these strings, which they share: "
+    texts = [frame + " ".join(rng.sample(slots, rng.choice((4, 8)))) for _ in range(60)]
+    texts += [" ".join(rng.choices(slots, k=rng.choice((12, 50, 90)))) for _ in range(60)]
+    texts += [t[:k] + "Zq" + t[k + 9 :] for t in texts[60:100] for k in (10, 40)] + [frame * 5, frame * 6, "", "", "ab", "abc", "İİİ", "e" * 300, "e" * 300]
+    ratio = lambda a, b: difflib.SequenceMatcher(None, texts[b].lower(), texts[a].lower()).ratio()
+    want = {(a, b): r for a in range(len(texts)) for b in range(a + 1, len(texts)) if (r := ratio(a, b)) >= 0.65}
+    got = dedup.ratio_pairs(spark.createDataFrame([*enumerate(texts), (999, None)], "ord long, text string")).collect()
+    assert len(got) == len(want) > 1000 and {(r["a"], r["b"]): r["similarity"] for r in got} == want
+
+
+def test_ratio_groups_meet(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "_ROWS", 7)
+    monkeypatch.setattr(dedup, "_BLOCK", 3)
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abc", k=rng.choice((10, 14, 20, 210, 260)))) for _ in range(70)]
+    ratio = lambda a, b: difflib.SequenceMatcher(None, texts[b], texts[a]).ratio()
+    want = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if ratio(a, b) >= 0.65}
+    got = dedup.ratio_pairs(spark.createDataFrame(list(enumerate(texts)), "ord long, text string")).collect()
+    assert len(got) == len(want) and {(r["a"], r["b"]) for r in got} == want and want
+
+
 def test_quota_and_numbers(spark):
     rows = spark.createDataFrame([(i, "b" if i % 3 else "a") for i in range(12)], "ord int, domain string")
     got = select.quota(rows, {"b": 2, "a": 1}, ["a", "b"], 6).orderBy("place").collect()
