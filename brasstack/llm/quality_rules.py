@@ -1,9 +1,10 @@
 """Quality rules: a hashed n-gram log-likelihood ratio between trusted text and the whole corpus, in built-in functions only.
 
-Words and word pairs are hashed into BUCKETS buckets. The raw multinomial counts every document of the corpus; the
-trusted one counts a bounded, documented sample of at most TRUSTED rows labelled as good (those with the smallest
-hash of their id). A document's score is the mean log ratio over its n-grams, in thousandths; below THRESHOLD, or
-failing the base rules, it is rejected. Every document is scored and decided by the same fixed rule.
+Words and word pairs are hashed into BUCKETS buckets. The raw multinomial counts every document of the corpus, the
+trusted one every row labelled as good. Smoothing is a fixed share of the trusted mass, so that the same rates give the
+same ratios at any size, and an n-gram doesn't count as raw evidence against itself: one seen nowhere else says nothing.
+A document's score is the mean log ratio over its n-grams, in thousandths; below THRESHOLD, or failing the base rules,
+it is rejected. Every document is scored and decided by the same fixed rule.
 """
 
 from __future__ import annotations
@@ -13,12 +14,11 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import counted_broadcast, cut, table
 
 BUCKETS = 1 << 16
-TRUSTED = 20_000
-#: Pseudo-counts a bucket, dealt as the raw corpus is.
-PRIOR = 20.0
+#: Pseudo-counts as a share of the trusted ones, dealt as the raw corpus is.
+PRIOR = 3.0
 #: Mean log ratio in thousandths from which a document is kept.
 THRESHOLD = -60
 MIN_WORDS = 50
@@ -44,21 +44,22 @@ def hashed(docs: DataFrame) -> DataFrame:
 
 def ratios(docs: DataFrame, good: DataFrame) -> list[int]:
     """A log ratio in thousandths for each bucket. good: doc_id of rows labelled as good. Empty inputs give zeros."""
-    some = good.select(F.col("doc_id").cast("long").alias("_good")).filter("_good IS NOT NULL").distinct().orderBy(F.xxhash64("_good"), "_good").limit(TRUSTED)
-    # at most TRUSTED ids of 8 bytes
-    marked = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(some), F.col("_id") == F.col("_good"), "left")
+    some = cut(good.select(F.col("doc_id").cast("long").alias("_good")).filter("_good IS NOT NULL").distinct(), "trusted")
+    marked = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(counted_broadcast(some), F.col("_id") == F.col("_good"), "left")
     grams = hashed(marked).select(F.col("_good").isNotNull().alias("good"), F.explode(F.expr(GRAMS)).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count_if("good").alias("good"))
     raw, good_n = [0] * BUCKETS, [0] * BUCKETS
     for r in counts.collect():  # at most BUCKETS rows
         raw[r[0]], good_n[r[0]] = r[1], r[2]
-    all_raw, all_good, prior = sum(raw) + BUCKETS, sum(good_n), PRIOR * BUCKETS
+    all_raw, all_good = sum(raw), sum(good_n)
     if not all_good:
         return [0] * BUCKETS
     out = []
     for r, g in zip(raw, good_n, strict=True):
-        p = (r + 1) / all_raw
-        out.append(round(1000 * math.log((g + prior * p) / (all_good + prior) / p)))
+        others = max(r - 1, g)
+        times = g / all_good / (others / all_raw) if others else 1.0
+        # so scaled that the score of text a little off an even ratio is that ratio's log
+        out.append(round(1000 * (1 + PRIOR) * math.log((times + PRIOR) / (1 + PRIOR))))
     return out
 
 

@@ -130,6 +130,17 @@ def test_ratio_prefers_trusted_text(spark):
     assert min(got[i] for i in range(30)) > max(got[100 + i] for i in range(30))
 
 
+@pytest.mark.parametrize("n", [60, 600, 3000])
+def test_junk_is_judged_alike_at_any_size(spark, n):
+    rng = random.Random(n)
+    words, junk = [f"w{i}" for i in range(300)], [f"j{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.choices(words, k=90) + rng.choices(junk if i % 12 == 0 else words, k=30)), None, None, None, None, None) for i in range(n)]
+    d = spark.createDataFrame(rows, SCHEMA)
+    good = spark.createDataFrame([(i,) for i in range(n) if i % 12 and i % 3], "doc_id long")
+    kept = {r["doc_id"] for r in quality_rules.quality_rules(d, good).filter("kept").collect()}
+    assert not {i for i in kept if i % 12 == 0} and len(kept) >= 0.98 * sum(i % 12 > 0 for i in range(n))
+
+
 def base_spans(t):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd])|(?:[Pp][Aa][Ss][Ss][Ww][Dd])|(?:[Ss][Ee][Cc][Rr][Ee][Tt])|(?:[Tt][Oo][Kk][Ee][Nn])|(?:[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 8]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
