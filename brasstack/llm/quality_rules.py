@@ -23,7 +23,7 @@ PRIOR = 3.0
 THRESHOLD = -60
 MIN_WORDS = 50
 _WS = r"[\\x20\\x09-\\x0D]"
-_STRIP = r"' \t\n\u000B\f\r'"
+_STRIP = r"' \t\n\u000B\u000C\r'"
 
 #: 64-bit hashes of the words of a text.
 HASHES = rf"""transform(CASE WHEN length(trim(BOTH {_STRIP} FROM _text)) = 0 THEN cast(array() AS array<string>)

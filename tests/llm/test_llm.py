@@ -130,6 +130,16 @@ def test_ratio_prefers_trusted_text(spark):
     assert min(got[i] for i in range(30)) > max(got[100 + i] for i in range(30))
 
 
+def test_quality_words_keep_their_ends(spark):
+    own = ["f", "f for if of", "for if", "fff ab f", "\fab cd\f", "\f", "of the leaf\f\f", "f ab cd f ab cd f", "if ab cd x if ab cd f"]
+    d = spark.createDataFrame([(i, t, None, None, None, None, None) for i, t in enumerate(own)], SCHEMA)
+    got = {r["doc_id"]: (r["n_words"], r["n_repeat_words"]) for r in quality_rules.quality_rules(d, d.select("doc_id")).collect()}
+    for i, t in enumerate(own):
+        w = WORD.findall(t)
+        g = list(zip(w, w[1:], w[2:]))
+        assert got[i] == (len(w), len({k + j for k, x in enumerate(g) if g.count(x) > 1 for j in range(3)}))
+
+
 @pytest.mark.parametrize("n", [60, 600, 3000])
 def test_junk_is_judged_alike_at_any_size(spark, n):
     rng = random.Random(n)
