@@ -264,7 +264,8 @@ def jaccard_pairs(spark, sf):
 @query()
 def dedup_greedy(spark, sf):
     items = read(spark, sf, "documents").select(F.col("doc_id").alias("ord"), "text")
-    return dedup.greedy(items, dedup.jaccard_pairs(items)).select("ord")
+    pairs = dedup.jaccard_pairs(items).unionByName(dedup.ratio_pairs(items))
+    return dedup.greedy(items, pairs).select("ord")
 
 
 @query()

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from brasstack.functions import text as T
 from brasstack.operators import dedup, metrics, sample, select
+from brasstack.plans import queries
 from brasstack.plans.completer import PerPartition, Replay
 from brasstack.sources import scans
 
@@ -114,6 +115,22 @@ def test_ratio_pairs_are_complete(spark):
     assert len(got) == len(want) > 1000 and {(r["a"], r["b"]): r["similarity"] for r in got} == want
 
 
+def test_greedy_equals_a_pass_by_both_tests(spark, tmp_path):
+    rng = random.Random(5)
+    words = ["walk", "talked", "run", "house", "garden", "window", "table", "river", "stone", "cloud", "paper", "light"]
+    texts = [" ".join(rng.choices(words, k=8)) for _ in range(25)]
+    texts += [t.replace(" ", "s ") + "s" for t in texts[:8]] + [t.replace(" ", "") for t in texts[8:14]] + ["at it is on", "at it is in", "", ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    sets, kept, by_ratio = [{w.lower().strip(T.PUNCTUATION) for w in t.split() if len(w) > 2} for t in texts], [], 0
+    for i, t in enumerate(texts):
+        same = any(sets[i] and sets[k] and len(sets[i] & sets[k]) / len(sets[i] | sets[k]) >= 0.65 for k in kept)
+        like = not same and any(difflib.SequenceMatcher(None, t.lower(), texts[k].lower()).ratio() >= 0.65 for k in kept)
+        by_ratio += like
+        if not same and not like:
+            kept.append(i)
+    assert by_ratio and sorted(r["ord"] for r in queries.QUERIES["dedup_greedy"](spark, str(tmp_path)).collect()) == kept
+
+
 def test_ratio_groups_meet(spark, monkeypatch):
     monkeypatch.setattr(dedup, "_ROWS", 7)
     monkeypatch.setattr(dedup, "_BLOCK", 3)
