@@ -17,7 +17,7 @@ from .common import BROADCAST_ROWS, back, cut, long_id, table
 LEAD = 3
 SHARE = 0.3
 CONSTANT = 0.5
-#: Shorter lines (in tokens) are never dropped.
+#: Lines of fewer tokens recur only as they are, digits included.
 MIN_TOKENS = 3
 ANY = "<*>"
 
@@ -32,15 +32,15 @@ def _constant(m):
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(id, th, pos, m, n, leaf): every line of MIN_TOKENS tokens or more, its variable tokens masked if at least CONSTANT stay; th tells texts of one id apart."""
+    """(id, th, pos, m, n, leaf): every line but blank ones, the variable tokens of MIN_TOKENS or more masked if at least CONSTANT stay; th tells texts of one id apart."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     parts = docs.select(long_id().alias("id"), F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
     flat = parts.withColumn("m", F.trim(F.regexp_replace("line", r"[\x20\x09\x0B-\x0D]+", " ")))
     masked = F.transform(F.array(F.regexp_replace("m", r"(?<!\S)[^\s0-9]*+[0-9]\S*+", ANY)), lambda x: F.when(_constant(x) >= CONSTANT, x).otherwise(F.col("m")))[0]
-    masked = F.when(F.col("m").rlike("[0-9]"), masked).otherwise(F.col("m"))
+    masked = F.when(F.col("m").rlike("[0-9]") & (_tokens(F.col("m")) >= MIN_TOKENS), masked).otherwise(F.col("m"))
     # the partition number keeps the filter above the masking, which it would repeat below
     flat = flat.select("id", "th", "pos", masked.alias("m"), F.spark_partition_id().alias("_part"))
-    flat = flat.withColumn("n", _tokens(F.col("m"))).filter((F.col("n") >= MIN_TOKENS) & (F.col("m") != "") & (F.col("_part") >= 0)).drop("_part")
+    flat = flat.withColumn("n", _tokens(F.col("m"))).filter((F.col("m") != "") & (F.col("_part") >= 0)).drop("_part")
     return flat.withColumn("leaf", F.xxhash64("n", F.substring_index("m", " ", LEAD)))
 
 

@@ -268,6 +268,12 @@ def test_line_dedup(spark, docs, none):
     assert {r["n_dropped"] for r in line_dedup.line_dedup(clean).collect()} == {0}
 
 
+def test_short_lines_recur_as_they_are(spark):
+    own = ["Les.\nAnd ornd.\nPage 7\n\n中文的一行", "Les.\nAnd ornd.\nPage 8\n\n中文的一行", "And other.\nLes.\nLes"]
+    d = spark.createDataFrame([(i, t, None, None, None, None, None) for i, t in enumerate(own)], SCHEMA)
+    assert {r["doc_id"]: r["dropped"] for r in line_dedup.line_dedup(d).collect()} == {0: "", 1: "0,1,4", 2: "1"}
+
+
 def test_sampled_pieces(docs, none):
     m = sample_pieces.Pieces(sample_pieces.piece_model())
     for t in ["a  b\n c", "Hello   world ", " lead\t x", "é漢字\n\n", *[t for t in texts()[:20] if t]]:
