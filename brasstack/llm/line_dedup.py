@@ -2,8 +2,8 @@
 
 A line's path in the tree has fixed depth: its token count and its first LEAD tokens, tokens with a digit being variable.
 A leaf whose lines are all equal has that line as its template. In other leaves a token is constant at its position if
-SHARE of the leaf's lines have it there; the others become <*>. Where at least CONSTANT of a line's tokens are constant,
-the generalised line is its template, else the line is its own. A template found in two or more documents recurs: its
+SHARE of the leaf's lines have it there; the others become <*>. Where at least CONSTANT of a line's tokens behind the
+leading ones, which are equal within a leaf, are constant, the generalised line is its template, else the line is its own. A template found in two or more documents recurs: its
 lines are dropped but in the document with the smallest id.
 """
 
@@ -69,7 +69,8 @@ def templates(docs: DataFrame) -> DataFrame:
     met = own.join(trees, "leaf").withColumn("t", F.split("m", " "))
     kept = F.transform("t", lambda x, i: F.when(F.array_contains(F.col("spots")[i]["tokens"], x), x).otherwise(F.lit(ANY)))
     met = met.select("id", "th", "pos", "leaf", "m", "n", kept.alias("skeleton"))
-    share = F.size(F.filter("skeleton", lambda x: x != ANY)) / F.col("n")
+    # lines of LEAD tokens or fewer are equal within a leaf, so none gets here
+    share = F.size(F.filter("skeleton", lambda x, i: (x != ANY) & (i >= LEAD))) / F.greatest(F.col("n") - LEAD, F.lit(1))
     own_t = F.when(share >= CONSTANT, F.xxhash64("leaf", F.array_join("skeleton", " "))).otherwise(F.xxhash64("leaf", "m"))
     return rest.unionByName(met.select("id", "th", "pos", own_t.alias("template")))
 

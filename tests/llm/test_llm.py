@@ -268,6 +268,12 @@ def test_line_dedup(spark, docs, none):
     assert {r["n_dropped"] for r in line_dedup.line_dedup(clean).collect()} == {0}
 
 
+def test_leading_tokens_make_no_template(spark):
+    own = [f"was erlytion that {a}\nwas erlytion that {a} {b}\nwas erlytion that {b} {a} x{b}" for a, b in zip("abcdefgh", "qrstuvwx")]
+    d = spark.createDataFrame([(i, t, None, None, None, None, None) for i, t in enumerate(own)], SCHEMA)
+    assert {r["n_dropped"] for r in line_dedup.line_dedup(d).collect()} == {0}
+
+
 def test_short_lines_recur_as_they_are(spark):
     own = ["Les.\nAnd ornd.\nPage 7\n\n中文的一行", "Les.\nAnd ornd.\nPage 8\n\n中文的一行", "And other.\nLes.\nLes"]
     d = spark.createDataFrame([(i, t, None, None, None, None, None) for i, t in enumerate(own)], SCHEMA)
