@@ -33,7 +33,8 @@ def _merge(first: bool):
 
     def entries(b: pa.RecordBatch, run0: int):
         n = b.num_rows
-        sha = np.frombuffer(b"".join(b.column("sha").to_pylist()), ">u8").reshape(n, 4)
+        # in native byte order, which arrays keep when they are joined; only equality is asked of the numbers
+        sha = np.frombuffer(b"".join(b.column("sha").to_pylist()), np.uint64).reshape(n, 4)
         cols = {k: b.column(k).to_numpy(zero_copy_only=False) for k in ("shard", "id", "check", "chars", "n")}
         cols["run"] = np.full(n, run0, np.int32) if first else b.column("run").to_numpy(zero_copy_only=False)
         return sha, cols

@@ -55,6 +55,23 @@ def test_exact_dedup(spark, docs, none):
     assert exact_dedup.exact_dedup(none).count() == 0 and exact_dedup.drop_exact(none).count() == 0
 
 
+def test_exact_dedup_over_many_batches(spark):
+    rng = random.Random(9)
+    rows = [(i, f"text {rng.randint(0, 900)}", None, None, None, None, None) for i in range(3000)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(20)
+    first, n = {}, Counter(r[1] for r in rows)
+    for r in rows:
+        first.setdefault(r[1], r[0])
+    key, old = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(key, "7")
+    try:
+        got = exact_dedup.exact_dedup(docs).collect()
+        assert {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got} == {(i, first[t], n[t], first[t] == i) for i, t, *_ in rows}
+        assert sorted(r["doc_id"] for r in exact_dedup.drop_exact(docs).collect()) == sorted(first.values())
+    finally:
+        spark.conf.set(key, old)
+
+
 def brute_fingerprint(text):
     ws = [bytes(w) for w in re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]+", lambda m: m[0].lower(), (text or "").encode()))]
     sh = [b" ".join(ws[i : i + 3]) for i in range(len(ws) - 2)] if len(ws) >= 3 else [b" ".join(ws)] if ws else []
