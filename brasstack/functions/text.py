@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,11 +25,21 @@ def stem_case(word: str = "w") -> str:
     return f"CASE{arms} ELSE {word} END"
 
 
+def stem_word(word: str) -> str:
+    """The stem of one word, for constants."""
+    w = word.lower()
+    return next((w[: -len(s)] for s, n in SUFFIXES if w.endswith(s) and len(w) >= len(s) + n), w)
+
+
 def stem(word: Column) -> Column:
+    """The first suffix that fits is cut. Only suffixes with the word's last letter are tried: the others can't fit."""
     w = F.lower(word)
-    out = w
-    for s, n in reversed(SUFFIXES):
-        out = F.when(w.endswith(s) & (F.length(w) >= len(s) + n), F.left(w, F.length(w) - len(s))).otherwise(out)
+    size, last, out = F.length(w), F.right(w, F.lit(1)), w
+    for letter in dict.fromkeys(s[-1] for s, _ in SUFFIXES):
+        found = w
+        for s, n in reversed([x for x in SUFFIXES if x[0][-1] == letter]):
+            found = F.when(w.endswith(s) & (size >= len(s) + n), F.left(w, size - len(s))).otherwise(found)
+        out = F.when(last == letter, found).otherwise(out)
     return out
 
 
@@ -40,10 +52,22 @@ def stems(text: Column) -> Column:
     return F.transform(tokens(text), stem)
 
 
-def triggered(response: Column, keywords: Column) -> Column:
-    """The keywords, in order, all of whose stems occur in the response; keywords without tokens never do."""
-    bag = F.transform(F.array(F.array_distinct(stems(F.coalesce(response, F.lit(""))))), lambda b: F.filter(
-        keywords, lambda k: (F.size(tokens(k)) > 0) & (F.size(F.array_except(stems(k), b)) == 0)))
+def stem_bag(text: Column) -> Column:
+    """The distinct stems of a text; each distinct token is stemmed once."""
+    return F.array_distinct(F.transform(F.array_distinct(tokens(F.coalesce(text, F.lit("")))), stem))
+
+
+def triggered(response: Column, keywords: Column | list[str]) -> Column:
+    """The keywords, in order, all of whose stems occur in the response; keywords without tokens never do.
+
+    Keywords are a column, or a list of constants, whose stems are then worked out once.
+    """
+    if isinstance(keywords, list):
+        known = [(k, [stem_word(t) for t in re.findall("[a-z0-9]+", k.lower())]) for k in keywords]
+        arms = lambda b: [F.when(F.size(F.array_except(F.array(*map(F.lit, ks)), b)) == 0, F.lit(k)) for k, ks in known if ks]
+        bag = F.transform(F.array(stem_bag(response)), lambda b: F.array_compact(F.array(*arms(b))) if arms(b) else F.array().cast("array<string>"))
+    else:
+        bag = F.transform(F.array(stem_bag(response)), lambda b: F.filter(keywords, lambda k: (F.size(tokens(k)) > 0) & (F.size(F.array_except(stems(k), b)) == 0)))
     return F.coalesce(bag[0], F.array().cast("array<string>"))
 
 

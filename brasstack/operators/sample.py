@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import operator
 import random
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The three constraint axes.
-BUDGETS = ("₹0", "₹50", "₹200")
-ENVIRONMENTS = ("hot", "wet", "dusty")
-INFRASTRUCTURES = ("no power", "no tools", "no water")
+BUDGETS = ("₹0 budget", "₹50 budget", "₹200 budget")
+ENVIRONMENTS = ("45°C Heatwave", "Monsoon Flash Flood", "Dust Storm/Arid Air")
+INFRASTRUCTURES = ("Total Grid Outage", "No Internet/Cell Signal", "No Motorized Transport Access")
 AXES = {"budget": BUDGETS, "environment": ENVIRONMENTS, "infrastructure": INFRASTRUCTURES}
 
 
@@ -64,16 +66,24 @@ def stratified_exact(seeds: DataFrame, space: DataFrame, count: int = 10) -> Dat
 
 
 def stratified_hash(seeds: DataFrame, space: DataFrame, count: int = 10) -> DataFrame:
-    """The same guarantees from hashes alone: the first combination of each axis value by hash, then the rest by hash."""
-    combo = F.concat_ws("|", *[c for c in space.columns if c != "ord"])
-    all_ = seeds.select("seed_id").crossJoin(F.broadcast(space)).withColumn("h", F.sha2(F.concat_ws("|", "seed_id", combo), 256))
-    lead = F.lit(False)
-    for name in (c for c in space.columns if c != "ord"):
-        first = F.row_number().over(Window.partitionBy("seed_id", name).orderBy("h")) == 1
-        all_ = all_.withColumn("_" + name, first)
-        lead = lead | F.col("_" + name)
-    k = F.row_number().over(Window.partitionBy("seed_id").orderBy(F.desc("_lead"), "h"))
-    return all_.withColumn("_lead", lead).withColumn("k", k).filter(F.col("k") <= count).select("seed_id", "k", *[c for c in space.columns if c != "ord"])
+    """The same guarantees from hashes alone: the first combination of each axis value by hash, then the rest by hash.
+
+    All of it within the seed's row, so nothing is shuffled."""
+    names = [c for c in space.columns if c != "ord"]
+    combos = [tuple(r[c] for c in names) for r in space.orderBy("ord").collect()]  # a constraint space, 27 rows
+    own = [F.struct(F.sha2(F.concat_ws("|", "seed_id", F.lit("|".join(c))), 256).alias("h"), *[F.lit(v).alias(n) for n, v in zip(names, c)]) for c in combos]
+    ranked = seeds.select("seed_id", F.array_sort(F.array(*own)).alias("all"))
+
+    def same_as(x, name):
+        return lambda e: e[name] == x[name]
+
+    def lead(x, i):
+        before = F.slice("all", F.lit(1), i)
+        firsts = [~F.exists(before, same_as(x, n)) for n in names]
+        return F.struct((~functools.reduce(operator.or_, firsts)).alias("rest"), x["h"].alias("h"), *[x[n].alias(n) for n in names])
+
+    chosen = ranked.select("seed_id", F.slice(F.array_sort(F.transform("all", lead)), 1, count).alias("chosen"))
+    return chosen.select("seed_id", F.posexplode("chosen").alias("k", "c")).select("seed_id", (F.col("k") + 1).alias("k"), *[F.col("c")[n].alias(n) for n in names])
 
 
 def shuffle_options(problems: DataFrame) -> DataFrame:

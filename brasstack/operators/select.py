@@ -81,8 +81,10 @@ def remaining(todo: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 
 def pages_until_stop(cards: DataFrame, key: Column) -> DataFrame:
     """Cards (category, page, pos) of the pages before the first that brings nothing new in its category."""
-    nth = F.row_number().over(Window.partitionBy("category", "_key").orderBy("page", "pos"))
-    marked = cards.withColumn("_key", key).withColumn("_new", nth == 1)
-    per_page = marked.groupBy("category", "page").agg(F.count_if("_new").alias("new"))
-    stop = per_page.filter("new = 0").groupBy("category").agg(F.min("page").alias("stop"))
-    return marked.filter("_new").join(stop, "category", "left").filter("stop IS NULL OR page < stop").drop("_key", "_new", "stop")
+    from brasstack.operators.dedup import keep_first
+
+    fresh = keep_first(cards.withColumn("_key", key), F.struct("category", "_key"), ["page", "pos"]).drop("_key")
+    new = fresh.groupBy("category", "page").agg(F.count(F.lit(1)).alias("_new"))
+    idle = cards.select("category", "page").distinct().join(new, ["category", "page"], "left_anti")
+    stop = idle.groupBy("category").agg(F.min("page").alias("_stop"))
+    return fresh.join(stop, "category", "left").filter("_stop IS NULL OR page < _stop").drop("_stop")

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brasstack.functions import text as T
 from brasstack.operators import dedup, metrics, sample, select
 from brasstack.plans.fixtures import DOMAINS, oracle, read, view
+from brasstack.scratch import path
 from brasstack.sources import scans
 from brasstack.streaming import resume
 
@@ -66,8 +65,7 @@ def answered(spark, sf):
 
 
 def guarded(spark, sf):
-    c = completions(spark, sf).withColumn("forbidden", F.array(*map(F.lit, FORBIDDEN)))
-    c = c.withColumn("triggered_keywords", T.triggered(F.col("raw_output"), F.col("forbidden")))
+    c = completions(spark, sf).withColumn("triggered_keywords", T.triggered(F.col("raw_output"), list(FORBIDDEN)))
     return c.withColumn("filter_result", F.when(F.size("triggered_keywords") > 0, "auto_fail").otherwise("clean"))
 
 
@@ -82,7 +80,7 @@ def guard_filter(spark, sf):
 
 @query(f"""SELECT lang, count(*) AS n, count(*) FILTER (WHERE len(hits) > 0) AS auto_fail FROM (SELECT lang, {_HITS} AS hits FROM (SELECT lang, {_STEMS.format('text')} AS bag FROM {{documents}})) GROUP BY lang""")
 def guard_counts_by_lang(spark, sf):
-    hit = F.size(T.triggered(F.col("text"), F.array(*map(F.lit, FORBIDDEN)))) > 0
+    hit = F.size(T.triggered(F.col("text"), list(FORBIDDEN))) > 0
     return read(spark, sf, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("auto_fail"))
 
 
@@ -254,18 +252,30 @@ def goals(spark, sf):
 _TOK = r"""list_distinct(list_transform(list_filter(regexp_split_to_array(text, '[\s\x{00A0}\x{0085}\x{2000}-\x{200A}]+'), lambda w: length(w) > 2), lambda w: trim(lower(w), '.,;:!?"''()[]{}')))"""
 
 
-@query(f"""WITH g AS (SELECT doc_id, {_TOK} AS t FROM {{documents}}), w AS (SELECT doc_id, len(t) AS n, unnest(t) AS tok FROM g),
+_SETS = f"""g AS (SELECT doc_id, list_sort({_TOK}) AS t FROM {{documents}}), c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS rep, t FROM g WHERE len(t) > 0)"""
+
+
+@query(f"""WITH {_SETS}, w AS (SELECT doc_id, len(t) AS n, unnest(t) AS tok FROM c WHERE doc_id = rep),
   m AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k, any_value(x.n) AS na, any_value(y.n) AS nb FROM w x JOIN w y ON x.tok = y.tok AND x.doc_id < y.doc_id GROUP BY 1, 2)
   SELECT a, b, k / (na + nb - k) AS similarity FROM m WHERE k / (na + nb - k) >= 0.65""")
 def jaccard_pairs(spark, sf):
     return dedup.jaccard_pairs(read(spark, sf, "documents").select(F.col("doc_id").alias("ord"), "text"))
 
 
+@query(f"WITH {_SETS} SELECT doc_id, rep, len(t) AS n FROM c")
+def jaccard_classes(spark, sf):
+    classes = dedup.token_classes(read(spark, sf, "documents").select(F.col("doc_id").alias("ord"), "text"))
+    return classes.select(F.col("ord").alias("doc_id"), "rep", F.col("n").cast("long").alias("n"))
+
+
 @query()
 def dedup_greedy(spark, sf):
-    items = read(spark, sf, "documents").select(F.col("doc_id").alias("ord"), "text")
-    pairs = dedup.jaccard_pairs(items).unionByName(dedup.ratio_pairs(items))
-    return dedup.greedy(items, pairs).select("ord")
+    return dedup.fuzzy_dedup(read(spark, sf, "documents").select(F.col("doc_id").alias("ord"), "text")).select("ord")
+
+
+@query("SELECT ord, min(ord) OVER (PARTITION BY lower(text)) AS rep FROM (SELECT conv_id * 1000 + turn AS ord, text FROM {conversations})")
+def sequence_ratio_classes(spark, sf):
+    return dedup.ratio_classes(goals(spark, sf)).select("ord", "rep")
 
 
 @query()
@@ -415,25 +425,20 @@ def page_early_stop(spark, sf):
     return select.pages_until_stop(cards, F.col("k")).select("category", "page", "pos")
 
 
-def _scratch(spark, name):
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{root}/{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT conv_id, turn, length(text) AS n FROM {conversations}")
 def jsonl_tolerant_scan(spark, sf):
-    path = _scratch(spark, "jsonl")
+    at = path(spark, "jsonl")
     c = read(spark, sf, "conversations")
-    c.select(F.to_json(F.struct("conv_id", "turn", "text")).alias("value")).unionAll(c.select(F.concat(F.lit('{"conv_id": '), "conv_id", F.lit(', "text": ')).alias("value"))).write.text(path)
-    return scans.jsonl(spark, path, "conv_id long, turn long, text string").select("conv_id", "turn", F.length("text").cast("long").alias("n"))
+    c.select(F.to_json(F.struct("conv_id", "turn", "text")).alias("value")).unionAll(c.select(F.concat(F.lit('{"conv_id": '), "conv_id", F.lit(', "text": ')).alias("value"))).write.text(at)
+    return scans.jsonl(spark, at, "conv_id long, turn long, text string").select("conv_id", "turn", F.length("text").cast("long").alias("n"))
 
 
 @query("SELECT DISTINCT problem_id, model_name, 'mcq' AS mode FROM {completions}")
 def streaming_resume(spark, sf):
-    src, sink = _scratch(spark, "source"), _scratch(spark, "sink")
+    src, sink = path(spark, "source"), path(spark, "sink")
     rows = completions(spark, sf).select("problem_id", "model_name", F.lit("mcq").alias("mode"), "turn")
     rows.write.parquet(src)
-    schema, at = "problem_id long, model_name string, mode string, turn long", _scratch(spark, "stream")
+    schema, at = "problem_id long, model_name string, mode string, turn long", path(spark, "stream")
     work = lambda df: df.select("problem_id", "model_name", "mode")
     resume.resume_stream(spark, src, schema, sink, at, work)
     rows.write.mode("append").parquet(src)  # the same keys again: nothing is done twice

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from brasstack.functions import text as T
 from brasstack.operators import dedup, metrics, sample, select
+from brasstack import scratch
 from brasstack.plans import queries
 from brasstack.plans.completer import PerPartition, Replay
 from brasstack.sources import scans
@@ -23,6 +24,7 @@ def test_option_letter(spark, text, want):
 @pytest.mark.parametrize("text,keys,want", [("He was buying it", ["buy"], ["buy"]), ("worked well", ["work"], ["work"]), ("electrical", ["electric"], ["electric"]), ("a motorcycle", ["motor"], []), ("", ["x"], []), ("text", [], []), ("use the electric, motor!", ["!!", "motor electric"], ["motor electric"])])
 def test_guard(spark, text, keys, want):
     assert one(spark, T.triggered(F.lit(text), F.array(*map(F.lit, keys)).cast("array<string>"))) == want
+    assert one(spark, T.triggered(F.lit(text), keys)) == want
 
 
 def test_small_functions(spark):
@@ -92,10 +94,17 @@ def test_pairs_equal_brute_force(spark):
     rng = random.Random(1)
     words = [f"word{i}" for i in range(30)]
     texts = [" ".join(rng.sample(words, 12)) for _ in range(40)]
-    texts += [t + " extra" for t in texts[:10]] + ["", "a an"]
-    items = spark.createDataFrame(list(enumerate(texts)), "ord long, text string")
-    sets = [{w.lower().strip(T.PUNCTUATION) for w in t.split() if len(w) > 2} for t in texts]
-    want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if sets[i] and sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.65}
+    texts += [t + " extra" for t in texts[:10]] + ["", "a an"] + [" ".join(rng.sample(t.split(), 12)) for t in texts[:5]]
+    texts += [" ".join(rng.sample(words, k)) for k in (1, 1, 2, 3, 18, 24, 27, 30) for _ in range(4)]
+    items = spark.createDataFrame([*enumerate(texts), (999, None)], "ord long, text string")
+    sets = [frozenset(w.lower().strip(T.PUNCTUATION) for w in t.split() if len(w) > 2) for t in texts]
+    reps = {}
+    for i, x in enumerate(sets):
+        reps.setdefault(x, i)
+    got = {r["ord"]: r["rep"] for r in dedup.token_classes(items).collect()}
+    assert got == {i: reps[x] for i, x in enumerate(sets) if x} and any(i != r for i, r in got.items())
+    own = sorted(r for x, r in reps.items() if x)
+    want = {(i, j) for i in own for j in own if i < j and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.65}
     assert {(r["a"], r["b"]) for r in dedup.jaccard_pairs(items).collect()} == want and want
     near = {(r["a"], r["b"]): r["similarity"] for r in dedup.ratio_pairs(items).collect()}
     assert all(v == pytest.approx(difflib.SequenceMatcher(None, texts[b].lower(), texts[a].lower()).ratio()) for (a, b), v in near.items())
@@ -110,8 +119,15 @@ def test_ratio_pairs_are_complete(spark):
     texts += [" ".join(rng.choices(slots, k=rng.choice((12, 50, 90)))) for _ in range(60)]
     texts += [t[:k] + "Zq" + t[k + 9 :] for t in texts[60:100] for k in (10, 40)] + [frame * 5, frame * 6, "", "", "ab", "abc", "İİİ", "e" * 300, "e" * 300]
     ratio = lambda a, b: difflib.SequenceMatcher(None, texts[b].lower(), texts[a].lower()).ratio()
-    want = {(a, b): r for a in range(len(texts)) for b in range(a + 1, len(texts)) if (r := ratio(a, b)) >= 0.65}
-    got = dedup.ratio_pairs(spark.createDataFrame([*enumerate(texts), (999, None)], "ord long, text string")).collect()
+    items = spark.createDataFrame([*enumerate(texts), (999, None)], "ord long, text string")
+    rep = {}
+    for i, t in enumerate(texts):
+        same = difflib.SequenceMatcher(None, t.lower(), t.lower()).ratio() >= 0.65
+        rep[i] = next((k for k in range(i) if same and texts[k].lower() == t.lower()), i)
+    assert {r["ord"]: r["rep"] for r in dedup.ratio_classes(items).collect()} == rep
+    own = [i for i, r in rep.items() if i == r]
+    want = {(a, b): r for a in own for b in own if a < b and (r := ratio(a, b)) >= 0.65}
+    got = dedup.ratio_pairs(items).collect()
     assert len(got) == len(want) > 1000 and {(r["a"], r["b"]): r["similarity"] for r in got} == want
 
 
@@ -177,6 +193,10 @@ def test_scans(spark, tmp_path):
     assert [r["title"] for r in scans.newsletter_entries(pages).collect()] == ["Head"]
     words = spark.createDataFrame([(1, 10.0, 5.0, "b"), (1, 9.0, 1.0, "a"), (1, 13.0, 0.0, "c"), (1, 15.5, 0.0, "d")], "page long, top double, x0 double, text string")
     assert [r["text"] for r in scans.layout_lines(words).orderBy("line").collect()] == ["a b c", "d"]
+    at = [(1, 600.0, 279.0)] * 11 + [(1, 600.0, 320.0)] * 11 + [(2, 600.0, 280.0)] * 11 + [(2, 600.0, 320.0)] * 11 + [(3, 600.0, 10.0)] * 10 + [(3, 600.0, 500.0)] * 20
+    assert {r["page"]: r["two_columns"] for r in scans.two_columns(spark.createDataFrame(at, "page long, width double, x0 double")).collect()} == {1: True, 2: False, 3: False}
+    said = spark.createDataFrame([("v", "fr", 0, "f"), ("v", "hi", 1, "h" * 5001), ("w", "fr", 0, "x")], "video_id string, language string, ord int, text string")
+    assert {r["video_id"]: r["text"] for r in scans.transcript(said).collect()} == {"v": "h" * 5000 + "\n[... transcript truncated ...]", "w": "x"}
 
 
 def test_completers(spark):
@@ -197,3 +217,23 @@ def test_completers(spark):
 def test_early_stop(spark):
     cards = spark.createDataFrame([("c", 1, 0, "a"), ("c", 1, 1, "b"), ("c", 2, 0, "a"), ("c", 3, 0, "z")], "category string, page int, pos int, t string")
     assert sorted(r["t"] for r in select.pages_until_stop(cards, F.col("t")).collect()) == ["a", "b"]
+
+
+def test_keep_first_and_shared_folder(spark):
+    rows = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), (None, 3, "z"), (None, 1, None)], "k string, o int, _row string")
+    assert sorted(tuple(r) for r in dedup.keep_first(rows, F.col("k"), ["o"]).collect() if r["k"]) == [("a", 1, "y")]
+    assert dedup.keep_first(rows, F.col("k"), ["o"]).filter("k IS NULL").first()["_row"] is None
+
+    class Far:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError):
+        scratch.shared_dir(Far)
+    df = scratch.cut(rows, "x")
+    assert df.count() == 4
+    scratch.drop(df)
+    assert scratch.cut(rows, "y").columns == rows.columns
