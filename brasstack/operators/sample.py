@@ -72,18 +72,21 @@ def stratified_hash(seeds: DataFrame, space: DataFrame, count: int = 10) -> Data
     names = [c for c in space.columns if c != "ord"]
     combos = [tuple(r[c] for c in names) for r in space.orderBy("ord").collect()]  # a constraint space, 27 rows
     own = [F.struct(F.sha2(F.concat_ws("|", "seed_id", F.lit("|".join(c))), 256).alias("h"), *[F.lit(v).alias(n) for n, v in zip(names, c)]) for c in combos]
-    ranked = seeds.select("seed_id", F.array_sort(F.array(*own)).alias("all"))
 
     def same_as(x, name):
         return lambda e: e[name] == x[name]
 
-    def lead(x, i):
-        before = F.slice("all", F.lit(1), i)
-        firsts = [~F.exists(before, same_as(x, n)) for n in names]
-        return F.struct((~functools.reduce(operator.or_, firsts)).alias("rest"), x["h"].alias("h"), *[x[n].alias(n) for n in names])
+    def pick(all_):
+        def lead(x, i):
+            firsts = [~F.exists(F.slice(all_, F.lit(1), i), same_as(x, n)) for n in names]
+            return F.struct((~functools.reduce(operator.or_, firsts)).alias("rest"), x["h"].alias("h"), *[x[n].alias(n) for n in names])
 
-    chosen = ranked.select("seed_id", F.slice(F.array_sort(F.transform("all", lead)), 1, count).alias("chosen"))
-    return chosen.select("seed_id", F.posexplode("chosen").alias("k", "c")).select("seed_id", (F.col("k") + 1).alias("k"), *[F.col("c")[n].alias(n) for n in names])
+        return F.slice(F.array_sort(F.transform(all_, lead)), 1, count)
+
+    # bound by a lambda, so that the hashes are worked out once and not for every element
+    chosen = F.transform(F.array(F.array_sort(F.array(*own))), pick)[0]
+    each = seeds.select("seed_id", F.posexplode(chosen).alias("k", "c"))
+    return each.select("seed_id", (F.col("k") + 1).alias("k"), *[F.col("c")[n].alias(n) for n in names])
 
 
 def shuffle_options(problems: DataFrame) -> DataFrame:
