@@ -1,13 +1,12 @@
-"""What the operators of this folder share: reading, the shared folder, lineage cuts."""
+"""What the operators of this folder share: reading, counted broadcasts, filters by row key."""
 
 from __future__ import annotations
 
-import os
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brasstack.scratch import cut
+
 #: Stands for a null id inside an operator, so that it sorts last.
 NO_ID = 2**63 - 1
 #: Most rows of a two-column table that may be broadcast, once they are counted.
@@ -18,24 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where the session names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = f"/tmp/checkpoints/{os.getpid()}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write a DataFrame to the shared folder and read it back: a lost executor then costs no recomputation,
-    and joins on it get their own exchanges, which adaptive execution may split."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def counted_broadcast(df: DataFrame) -> DataFrame:
     """A written table of a few narrow columns, marked for broadcast only if it has BROADCAST_ROWS rows at most."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -50,7 +31,32 @@ def back(col):
     return F.when(col != NO_ID, col)
 
 
+def keyed(docs: DataFrame, key: Column) -> DataFrame:
+    """(_row, _id, _key): a row's columns in a struct, whatever their names, and what tells it from others."""
+    return docs.select(F.struct(*docs.columns).alias("_row"), long_id().alias("_id"), key.alias("_key"))
+
+
+def stay(docs: DataFrame, key: Column, lost: DataFrame, twice: DataFrame) -> DataFrame:
+    """The rows of docs without those of lost (_id, _key); of rows that repeat an entry of twice (_id, _key) one stays.
+
+    Few entries are broadcast once counted, else both sides are shuffled by both columns.
+    """
+    on, rows = ["_id", "_key"], keyed(docs, key)
+    out = rows.join(counted_broadcast(lost), on, "left_anti")
+    if not twice.isEmpty():
+        few = counted_broadcast(twice)
+        one = rows.join(few, on, "left_semi").groupBy(*on).agg(F.first("_row").alias("_row"))
+        out = out.join(few, on, "left_anti").select("_row").unionByName(one.select("_row"))
+    return out.select("_row.*")
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bound an Arrow batch by bytes as well as by rows, so that long texts don't fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    """Bound Arrow batches for long texts, where the session's own bounds are wider; narrower ones stay.
+
+    A plan reads these settings when it runs, so they must hold in the session of its tables.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
+        now = spark.conf.get(key)
+        n = int(now.rstrip("bB")) if now.rstrip("bB").lstrip("-").isdigit() else 0
+        if n <= 0 or n > most:
+            spark.conf.set(key, str(most))

@@ -12,15 +12,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import back, counted_broadcast, cut, long_id, table
+from .common import back, cut, long_id, stay, table
 
 #: Runs that one merge takes.
 FAN_IN = 8
 WHITE = "[\\x20\\x09-\\x0D]+"
-RUN = "shard int, run int, sha binary, id long, check long, chars long, n long"
+RUN = "shard int, run int, sha binary, id long, row long, check long, chars long, n long"
 
 
 def normalised(text: str = "text"):
@@ -35,7 +35,7 @@ def _merge(first: bool):
         n = b.num_rows
         # in native byte order, which arrays keep when they are joined; only equality is asked of the numbers
         sha = np.frombuffer(b"".join(b.column("sha").to_pylist()), np.uint64).reshape(n, 4)
-        cols = {k: b.column(k).to_numpy(zero_copy_only=False) for k in ("shard", "id", "check", "chars", "n")}
+        cols = {k: b.column(k).to_numpy(zero_copy_only=False) for k in ("shard", "id", "row", "check", "chars", "n")}
         cols["run"] = np.full(n, run0, np.int32) if first else b.column("run").to_numpy(zero_copy_only=False)
         return sha, cols
 
@@ -47,8 +47,7 @@ def _merge(first: bool):
         for k in ("check", "chars"):
             if (c[k] != c[k][at][lead]).any():
                 raise ValueError("two different texts have one SHA-256 digest")
-        out = {k: c[k][at] for k in ("shard", "run", "check", "chars")}
-        out["id"] = np.minimum.reduceat(c["id"], at)
+        out = {k: c[k][at] for k in ("shard", "run", "id", "row", "check", "chars")}  # sorted by id and row: the first is the least
         out["n"] = np.add.reduceat(c["n"], at)
         return sha[at], out
 
@@ -73,32 +72,39 @@ def _merge(first: bool):
         raw = np.ascontiguousarray(sha).tobytes()
         return pa.RecordBatch.from_arrays(
             [pa.array(c["shard"], pa.int32()), pa.array(c["run"], pa.int32()), pa.array([raw[i : i + 32] for i in range(0, len(raw), 32)], pa.binary()),
-             pa.array(c["id"], pa.int64()), pa.array(c["check"], pa.int64()), pa.array(c["chars"], pa.int64()), pa.array(c["n"], pa.int64())],
-            names=["shard", "run", "sha", "id", "check", "chars", "n"])
+             *(pa.array(c[k], pa.int64()) for k in ("id", "row", "check", "chars", "n"))],
+            names=["shard", "run", "sha", "id", "row", "check", "chars", "n"])
 
     return run
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """(id, sha, check, chars) of every row: the id (NO_ID for null), SHA-256 of the normalised text, a second hash, its length."""
-    return docs.select(long_id().alias("id"), normalised().alias("t")).select(
-        "id", F.unhex(F.sha2("t", 256)).alias("sha"), F.xxhash64("t").alias("check"), F.length("t").cast("long").alias("chars"))
+    """(id, row, sha, check, chars) of every row: the id (NO_ID for null), a number of its own, SHA-256 of the normalised text,
+    a second hash, its length. Written before use: the numbers must not be dealt twice."""
+    return docs.select(long_id().alias("id"), F.monotonically_increasing_id().alias("row"), normalised().alias("t")).select(
+        "id", "row", F.unhex(F.sha2("t", 256)).alias("sha"), F.xxhash64("t").alias("check"), F.length("t").cast("long").alias("chars"))
 
 
 def tree_merge(rows: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
-    """(sha, keep, n) for every digest of digests()."""
+    """(sha, keep, keep_row, n) for every digest of digests(): the least id, the least number among its rows, the number of rows."""
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = 8 * parts
     keyed = rows.select(
-        F.pmod(F.xxhash64("sha"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("run"), "sha", "id", "check", "chars", F.lit(1).cast("long").alias("n"))
-    runs = keyed.sortWithinPartitions("shard", "sha", "id").mapInArrow(_merge(True), RUN)
+        F.pmod(F.xxhash64("sha"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("run"), "sha", "id", "row", "check", "chars", F.lit(1).cast("long").alias("n"))
+    runs = keyed.sortWithinPartitions("shard", "sha", "id", "row").mapInArrow(_merge(True), RUN)
     left = max(1, rows.rdd.getNumPartitions())
     while left > 1:
         runs = runs.withColumn("run", F.floor(F.col("run") / fan_in).cast("int")).repartition(parts, "shard", "run")
-        runs = runs.sortWithinPartitions("shard", "run", "sha", "id").mapInArrow(_merge(False), RUN)
+        runs = runs.sortWithinPartitions("shard", "run", "sha", "id", "row").mapInArrow(_merge(False), RUN)
         left = -(-left // fan_in)
-    return runs.select("sha", F.col("id").alias("keep"), "n")
+    return runs.select("sha", F.col("id").alias("keep"), F.col("row").alias("keep_row"), "n")
+
+
+def _met(docs: DataFrame) -> DataFrame:
+    """digests() of docs with keep, keep_row and n. The join's exchanges are its own, so one that holds a hot text may be split."""
+    rows = cut(digests(docs), "digests")
+    return rows.join(cut(tree_merge(rows), "merged"), "sha")
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
@@ -107,28 +113,17 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     Null texts are empty texts. Null ids sort after all others: they stay only where a whole group has none. Of rows
     that repeat both id and text exactly one is kept. An empty table gives no rows; other columns are not read.
     """
-    rows = cut(digests(docs), "digests")
-    merged = cut(tree_merge(rows), "merged")
-    # the window has its own key, so the exchange of the join below may be split where one text is hot
-    numbered = rows.select("id", "sha", F.row_number().over(Window.partitionBy("id", "sha").orderBy("id")).alias("copy"))
-    both = numbered.join(merged, "sha", "left")
-    return both.select(
+    return _met(docs).select(
         back(F.col("id")).alias("doc_id"), back(F.col("keep")).alias("keep_id"), F.col("n").alias("group_size"),
-        ((F.col("id") == F.col("keep")) & (F.col("copy") == 1)).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+        (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def drop_exact(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns. Few lost rows are broadcast once counted, else both sides are shuffled by id."""
-    found = exact_dedup(docs).select(long_id().alias("_id"), F.unhex("text_sha256").alias("_sha"), "kept")
-    lost = cut(found.filter("not kept").select("_id", "_sha").distinct(), "lost")
-    marked = docs.withColumns({"_id": long_id(), "_sha": F.unhex(F.sha2(normalised(), 256))})
-    on = ["_id", "_sha"]
-    out = marked.join(counted_broadcast(lost), on, "left_anti")
-    # rows that repeat the id and text of one that stays: one of them stays
-    twice = cut(found.groupBy(*on).agg(F.count_if("kept").alias("k"), F.count(F.lit(1)).alias("n")).filter("k > 0 AND n > k").select(*on), "twice")
-    if not twice.isEmpty():
-        out = out.unionByName(marked.join(counted_broadcast(twice), on, "left_semi").dropDuplicates(on).select(*out.columns))
-    return out.select(*docs.columns)
+    """The rows of docs that stay, with all their columns, whatever their names."""
+    found = cut(_met(docs).select(F.col("id").alias("_id"), F.col("sha").alias("_key"), (F.col("id") == F.col("keep")).alias("first")), "found")
+    lost = cut(found.filter("not first").select("_id", "_key").distinct(), "lost")
+    twice = cut(found.filter("first").groupBy("_id", "_key").count().filter("count > 1").select("_id", "_key"), "twice")
+    return stay(docs, F.unhex(F.sha2(normalised(), 256)), lost, twice)
 
 
 def op5_exact_dedup(spark, sf_dir: str) -> DataFrame:

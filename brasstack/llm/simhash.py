@@ -18,7 +18,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, back, counted_broadcast, cut, long_id, small_batches, table
+from brasstack.scratch import drop
+
+from .common import BROADCAST_ROWS, back, cut, long_id, small_batches, stay, table
 
 BITS = 2
 WORDS = 3
@@ -26,6 +28,8 @@ WIDTHS = (13, 13, 13, 13, 12)
 #: Most fingerprints compared pair by pair in one group; the last level has at most 12 free bits.
 GROUP = 1024
 LEVELS = 3
+#: Rows of a group that are compared with all of it at once.
+TILE = 256
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -58,13 +62,18 @@ def _majority(hashes: list[int]) -> int:
 def _fingerprints(batches):
     for b in batches:
         fps = np.array([fingerprint(t) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fps, pa.int64())], names=["id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("th"), pa.array(fps, pa.int64())], names=["id", "th", "fp"])
+
+
+def text_hash():
+    """Tells texts of one id apart; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(id, fp) of every row; fp is the fingerprint as a signed long."""
+    """(id, th, fp) of every row; th is a hash of the text, fp the fingerprint as a signed long."""
     small_batches(docs.sparkSession)
-    return docs.select(long_id().alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, "id long, fp long")
+    return docs.select(long_id().alias("id"), text_hash().alias("th"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, "id long, th long, fp long")
 
 
 def _signed(x: int) -> int:
@@ -91,16 +100,19 @@ def sub_masks(mask: int) -> list[int]:
 
 
 def _verify(batches):
-    """Star links of the components that distances of at most BITS make within each group."""
+    """Star links of the components that distances of at most BITS make within each group, compared TILE rows at a time."""
     for b in batches:
         left, right = [], []
         for group in b.column("group").to_pylist():
-            v = np.array([x["v"] for x in group], np.int64)
-            fp = np.array([x["fp"] for x in group], np.int64).view(np.uint64)
+            v = np.array(group, np.int64)
+            fp = v.view(np.uint64)
             root = np.arange(len(v))
-            near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= BITS
-            while True:  # members are sorted by id, so the least index is the least id
-                low = np.where(near, root[None, :], len(v)).min(1)
+            while True:
+                low = np.empty_like(root)
+                for i in range(0, len(v), TILE):
+                    near = np.bitwise_count(fp[i : i + TILE, None] ^ fp[None, :]) <= BITS
+                    low[i : i + TILE] = np.where(near, root[None, :], len(v)).min(1)
+                low = low[low]
                 if (low == root).all():
                     break
                 root = low
@@ -111,12 +123,12 @@ def _verify(batches):
 
 
 def _groups(keyed: DataFrame) -> DataFrame:
-    grouped = keyed.groupBy("m", "key").agg(F.sort_array(F.collect_list(F.struct("v", "fp"))).alias("group"))
+    grouped = keyed.groupBy("m", "key").agg(F.sort_array(F.collect_list("fp")).alias("group"))
     return grouped.filter(F.size("group") > 1).select("group").mapInArrow(_verify, "a long, b long")
 
 
 def links(vertices: DataFrame) -> DataFrame:
-    """(a, b), a > b: verified links between vertices (fp, v) with distinct fingerprints; their closure is complete."""
+    """(a, b), a > b: verified links between the distinct fingerprints (fp) of vertices; their closure is complete."""
     spark = vertices.sparkSession
     masks, found, rows = block_masks(), [], vertices.withColumn("m0", F.lit(0))
     options = {0: list(range(len(masks)))}
@@ -125,7 +137,7 @@ def links(vertices: DataFrame) -> DataFrame:
         for m0, ms in options.items():
             keys = F.array(*[F.struct(F.lit(m).alias("m"), F.col("fp").bitwiseAND(F.lit(_signed(masks[m]))).alias("key")) for m in ms])
             choice = F.when(F.col("m0") == m0, keys).otherwise(choice) if len(options) > 1 else keys
-        keyed = rows.select("fp", "v", F.explode(choice).alias("k")).select("fp", "v", "k.m", "k.key")
+        keyed = rows.select("fp", F.explode(choice).alias("k")).select("fp", "k.m", "k.key")
         if level == LEVELS - 1:
             found.append(_groups(keyed))
             break
@@ -142,7 +154,7 @@ def links(vertices: DataFrame) -> DataFrame:
             keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(32)))
             hot = hot.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(31).cast("long"))))
         found.append(_groups(keyed.join(hot, on, "left_anti")))
-        rows = cut(keyed.join(hot, on, "left_semi").select("fp", "v", F.col("m").alias("m0")), "crowded")
+        rows = cut(keyed.join(hot, on, "left_semi").select("fp", F.col("m").alias("m0")), "crowded")
         options, old = {}, masks
         masks = []
         for m0, mask in enumerate(old):
@@ -170,38 +182,45 @@ def components(edges: DataFrame) -> DataFrame:
                 moved = met.filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
             else:
                 moved = met.select(F.col("b").alias("a"), F.col("low").alias("b")).unionAll(least.select("a", F.col("low").alias("b")))
-            edges = cut(moved.filter("a <> b").distinct(), "edges")
+            old, edges = edges, cut(moved.filter("a <> b").distinct(), "edges")
+            drop(old, least)
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == seen or not now[0]:
             return edges.select(F.col("a").alias("v"), F.col("b").alias("root"))
         seen = now
 
 
+def _met(docs: DataFrame) -> DataFrame:
+    """(id, th, fp, first) of every row: first is the least (id, th) of its component, th a hash of the text."""
+    fps = cut(fingerprints(docs), "fps")
+    vertices = cut(fps.groupBy("fp").agg(F.min(F.struct("id", "th")).alias("first")), "vertices")
+    roots = components(links(vertices.select("fp")))
+    # fingerprints are the vertices, so rows without an id join nothing to each other
+    rooted = cut(vertices.join(roots, F.col("fp") == F.col("v"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
+    first = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    named = cut(rooted.select("fp", "root").join(first, "root").select("fp", "first"), "named")
+    # both sides of this join have exchanges of their own: one hot fingerprint may be split
+    return fps.join(named, "fp")
+
+
 def near_dedup(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, fingerprint, component_id.
 
-    A null or empty text has fingerprint zero and links like any other. Null ids count as larger than all others and
-    give a null component only among themselves. Repeated rows each get their row; an empty table gives none; other
-    columns are not read.
+    A null or empty text has fingerprint zero and links like any other. Null ids count as larger than all others: a
+    component of which no row has an id gets a null component_id. Repeated rows each get their row; an empty table gives
+    none; other columns are not read.
     """
-    fps = cut(fingerprints(docs), "fps")
-    vertices = cut(fps.groupBy("fp").agg(F.min("id").alias("v")), "vertices")
-    roots = components(links(vertices))
-    named = cut(vertices.join(roots, "v", "left").select("fp", F.coalesce("root", "v").alias("component")), "named")
-    # both sides of this join have exchanges of their own: one hot fingerprint may be split
-    return fps.join(named, "fp").select(
-        back(F.col("id")).alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), back(F.col("component")).alias("component_id"))
+    return _met(docs).select(
+        back(F.col("id")).alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), back(F.col("first.id")).alias("component_id"))
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose id is the smallest of its component, with all their columns.
-
-    Few lost ids are broadcast once counted, else both sides are shuffled by id. An id that repeats with another text
-    stays if one of its rows is the smallest of a component.
-    """
-    found = near_dedup(docs).select(long_id().alias("_id"), F.expr("doc_id <=> component_id").alias("stays"))
-    lost = found.groupBy("_id").agg(F.bool_or("stays").alias("stays")).filter("not stays").select("_id")
-    return docs.withColumn("_id", long_id()).join(counted_broadcast(cut(lost, "lost")), "_id", "left_anti").select(*docs.columns)
+    """One row of each component, with all its columns, whatever their names: that of the smallest id, where ids repeat
+    or are null that of the smallest text hash; of rows that repeat both one stays."""
+    found = cut(_met(docs).select(F.col("id").alias("_id"), F.col("th").alias("_key"), F.expr("id = first.id AND th = first.th").alias("stays")), "found")
+    lost = cut(found.groupBy("_id", "_key").agg(F.bool_or("stays").alias("stays")).filter("not stays").select("_id", "_key"), "lost")
+    twice = cut(found.filter("stays").groupBy("_id", "_key").count().filter("count > 1").select("_id", "_key"), "twice")
+    return stay(docs, text_hash(), lost, twice)
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
