@@ -1,7 +1,7 @@
 """Quality rules: a hashed n-gram log-likelihood ratio between trusted text and the whole corpus, in built-in functions only.
 
-Words and word pairs are hashed into BUCKETS buckets. The raw multinomial counts every document of the corpus, the
-trusted one every row labelled as good. Smoothing is a fixed share of the trusted mass, so that the same rates give the
+Words and word pairs are hashed into BUCKETS buckets. The raw multinomial counts every distinct text of the corpus, the
+trusted one every distinct text with a row labelled as good: however often a text was copied, no verdict changes. Smoothing is a fixed share of the trusted mass, so that the same rates give the
 same ratios at any size, and an n-gram doesn't count as raw evidence against itself: one seen nowhere else says nothing.
 A document's score is the mean log ratio over its n-grams, in thousandths; below THRESHOLD, or failing the base rules,
 it is rejected. Every document is scored and decided by the same fixed rule.
@@ -14,7 +14,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import counted_broadcast, cut, table
+from .common import BROADCAST_ROWS, counted_broadcast, cut, table
 
 BUCKETS = 1 << 16
 #: Pseudo-counts as a share of the trusted ones, dealt as the raw corpus is.
@@ -42,11 +42,31 @@ def hashed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("_h", F.expr(HASHES))
 
 
+def distinct_texts(docs: DataFrame, good: DataFrame) -> DataFrame:
+    """(text, good) of every distinct text; good where one of its rows is labelled so.
+
+    Two hashes stand for a text. Texts that occur once stay where they are; those of copies are reduced before they are
+    shuffled. Only where more digests than may be broadcast have copies are all texts shuffled.
+    """
+    some = cut(good.select(F.col("doc_id").cast("long").alias("_good")).filter("_good IS NOT NULL").distinct(), "trusted")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = docs.select(F.col("doc_id").cast("long").alias("_id"), text.alias("text"))
+    keys = [F.xxhash64("text").alias("a"), F.xxhash64(F.lit("2"), "text").alias("b")]
+    copied = cut(own.select(*keys).groupBy("a", "b").count().filter("count > 1").select("a", "b"), "copied")
+    rows = own.join(counted_broadcast(some), F.col("_id") == F.col("_good"), "left").select("text", F.col("_good").isNotNull().alias("good"), *keys)
+
+    def once(rows):
+        return rows.groupBy("a", "b").agg(F.first("text").alias("text"), F.bool_or("good").alias("good")).select("text", "good")
+
+    if copied.count() > BROADCAST_ROWS:
+        return once(rows)
+    few = F.broadcast(copied)
+    return rows.join(few, ["a", "b"], "left_anti").select("text", "good").unionAll(once(rows.join(few, ["a", "b"], "left_semi")))
+
+
 def ratios(docs: DataFrame, good: DataFrame) -> list[int]:
     """A log ratio in thousandths for each bucket. good: doc_id of rows labelled as good. Empty inputs give zeros."""
-    some = cut(good.select(F.col("doc_id").cast("long").alias("_good")).filter("_good IS NOT NULL").distinct(), "trusted")
-    marked = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(counted_broadcast(some), F.col("_id") == F.col("_good"), "left")
-    grams = hashed(marked).select(F.col("_good").isNotNull().alias("good"), F.explode(F.expr(GRAMS)).alias("bucket"))
+    grams = hashed(distinct_texts(docs, good)).select("good", F.explode(F.expr(GRAMS)).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count_if("good").alias("good"))
     raw, good_n = [0] * BUCKETS, [0] * BUCKETS
     for r in counts.collect():  # at most BUCKETS rows
