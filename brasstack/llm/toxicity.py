@@ -1,9 +1,9 @@
 """Toxicity by weak supervision.
 
 Lexicon voters (words) and pattern voters (word beginnings) are mined from a bounded sample of labelled rows outside
-the held-out fold. A generative label model estimates how often each fires in either class and how voters are
-correlated (weak.label_model); its posteriors, not the labels themselves, train a linear classifier on hashed features,
-which scores every whole text.
+the held-out fold: labels pick the voters, and are not used after that. A generative label model estimates from the
+votes alone how often each voter fires in either class and how voters are correlated (weak.label_model); its posteriors
+train a linear classifier on hashed features, which scores every whole text.
 """
 
 from __future__ import annotations
@@ -18,12 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, small_batches, table
-from .weak import Sparse, label_model, logistic
+from .weak import Sparse, label_model, logistic, unlike
 
 #: Labelled rows of either label used for learning at most: those with the smallest hash of their id.
 PER_LABEL = 8000
 FEATURES = 2048
 VOTERS = 128
+#: Least share of label 1 among the labelled rows that a voter fires on.
+PRECISION = 0.9
 BUCKETS = 1 << 18
 FOLDS = 5
 _WORD = re.compile(r"[^\W\d_]+")
@@ -52,7 +54,11 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     own = own.filter(~held_out("_id")).groupBy("_id").agg(F.max("y").alias("y"))
     some = [own.filter(F.col("y") == k).orderBy(F.xxhash64("_id"), "_id").limit(PER_LABEL) for k in (0, 1)]
     ids = F.broadcast(some[0].unionAll(some[1]))  # at most 2 * PER_LABEL rows of 12 bytes
-    return docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string")).join(ids, "_id").select("text", "y")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    met = docs.select(F.col("doc_id").cast("long").alias("_id"), text.alias("text")).join(ids, "_id")
+    # one text of each id, however often an id repeats, and one row of each text, however often it was copied
+    once = met.groupBy("_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("y").alias("y"))
+    return once.groupBy("text").agg(F.max("y").alias("y"))
 
 
 def _count(batches):
@@ -85,12 +91,15 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, float], float,
 
     got = rows.mapInArrow(pick, "x array<int>, y int").collect()  # at most 2 * PER_LABEL rows
     xs, y = [r["x"] for r in got], np.array([r["y"] for r in got])
-    voters = [i for i, r in enumerate(top) if r["odds"] > 3 and r["z"] > 3][:VOTERS]
+    # those that hardly fire on label 0, most telling first, but none that says what one before it says
+    voters = [i for i, r in enumerate(top) if r["z"] > 3 and r["pos"] >= PRECISION * (r["pos"] + r["neg"])]
     at = {i: j for j, i in enumerate(voters)}
     votes = np.zeros((len(xs), len(voters)))
     for k, x in enumerate(xs):
         votes[k, [at[i] for i in x if i in at]] = 1
-    post, figures = label_model(votes, y.astype(float), n[1] / (n[0] + n[1]))
+    chosen = unlike(votes, VOTERS)
+    voters, votes = [voters[j] for j in chosen], votes[:, chosen]
+    post, figures = label_model(votes, n[1] / (n[0] + n[1]))
     hashed = {f: bucket(f) for f in index}
     order = {h: j for j, h in enumerate(sorted(set(hashed.values())))}
     cols = [order[hashed[r["f"]]] for r in top]

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 
-
 #: Correlation within a class from which two voters share their evidence.
 CORRELATED = 0.5
+#: How much oftener a voter is taken to fire on label 1 before anything is estimated.
+START = 100.0
 
 
 def sigmoid(x):
@@ -49,37 +50,53 @@ def logistic(x: Sparse, soft: np.ndarray, weight: np.ndarray | None = None, l2:
     return w, b
 
 
-def label_model(votes: np.ndarray, given: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.ndarray, dict]:
-    """Posterior of label 1 from 0/1 votes (rows by voters), with the model's figures.
+def unlike(votes: np.ndarray, most: int, limit: float = 0.8) -> list[int]:
+    """Columns of a 0/1 matrix, in order, each correlated under limit with all before it; at most `most`."""
+    sd = votes.std(0).clip(1e-9)
+    r = (votes - votes.mean(0)) / sd / np.sqrt(max(len(votes), 1))
+    out: list[int] = []
+    for j in range(votes.shape[1]):
+        if len(out) < most and (not out or (r[:, out].T @ r[:, j]).max() < limit):
+            out.append(j)
+    return out
+
+
+def label_model(votes: np.ndarray, prior: float, rounds: int = 40) -> tuple[np.ndarray, dict]:
+    """Posterior of label 1 from 0/1 votes (rows by voters) alone, with the model's figures.
 
     A generative model by expectation-maximisation: voters fire at a rate for each class (their accuracies), rows on
-    which none fires are a vote of their own, a voter that doesn't fire abstains, and pairwise correlations that remain within a class are estimated from the posterior; a voter's evidence is divided
-    by its correlated mass, so that near-copies of one voter count once. given, the annotators' 0/1 labels, is one
-    more voter with error rates of its own, and the first posterior leans on it.
+    which none fires are a vote of their own, a voter that doesn't fire abstains. Correlations that remain between two
+    voters within a class are estimated from the posterior; a voter's evidence is divided by its correlated mass, so that
+    near-copies of one voter count once. prior is the share of label 1. It starts from voters that are all taken to
+    fire START times as often on label 1, those that fire together counted as one; no label of a row is given to it.
     """
     votes = np.column_stack([votes, votes.sum(1) == 0]).astype(float)
     n, m = votes.shape
-    post, share = 0.05 + 0.9 * given, np.ones(m)
+    both = votes.T @ votes
+    alike = both / np.sqrt(np.outer(np.diag(both), np.diag(both))).clip(1e-9)
+    share = 1 / np.where(alike > CORRELATED, alike, 0).sum(1).clip(1.0)
+    lean = np.full(m, np.log(START))
+    lean[-1] = -lean[-1]
+    post = sigmoid(np.log(prior / (1 - prior)) + votes @ (share * lean))
     corr = np.eye(m)
     on = off = np.full(m, 0.5)
     for t in range(rounds):
         a, b = post.sum() + 1e-9, (1 - post).sum() + 1e-9
         on, off = (votes.T @ post + 0.5) / (a + 1), (votes.T @ (1 - post) + 0.05) / (b + 1)
-        on = np.maximum(on, 1.2 * off)
-        on[-1], off[-1] = min(on[-1], 0.8 * off[-1]), off[-1]
-        hit, miss = min((given @ post + 9) / (a + 10), 0.99), max((given @ (1 - post) + 0.1) / (b + 10), 0.005)
+        on = np.maximum(on, 1.2 * off)  # voters are known to lean to label 1,
+        on[-1] = min(on[-1], 0.8 * off[-1])  # silence to label 0
         if t % 5 == 0:
             corr = np.zeros((m, m))
             for weight, rate in ((post, on), (1 - post, off)):
                 r = (votes - rate) * np.sqrt(weight / weight.sum().clip(1e-9))[:, None]
                 cov = r.T @ r
                 sd = np.sqrt(np.diag(cov).clip(1e-12))
-                corr = np.maximum(corr, np.abs(cov / sd[:, None] / sd[None, :]))
+                corr = np.maximum(corr, cov / sd[:, None] / sd[None, :])
             np.fill_diagonal(corr, 1.0)
+            corr[-1, :-1] = corr[:-1, -1] = 0.0  # silence excludes the others; it repeats none
             share = 1 / np.where(corr > CORRELATED, corr, 0).sum(1).clip(1.0)
-        score = np.log(prior / (1 - prior)) + votes @ (share * np.log(on / off))
-        post = sigmoid(score + given * np.log(hit / miss) + (1 - given) * np.log((1 - hit) / (1 - miss)))
-    return post, {"annotator": (hit, miss), "fires_on": on, "fires_off": off, "correlations": corr, "share": share}
+        post = sigmoid(np.log(prior / (1 - prior)) + votes @ (share * np.log(on / off)))
+    return post, {"fires_on": on, "fires_off": off, "correlations": corr, "share": share}
 
 
 def dawid_skene(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, float]:
