@@ -9,16 +9,18 @@ overwrites what isn't.
 
 from __future__ import annotations
 
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import ByteBPE, WordBPE
-from .common import shared_dir, small_batches, table
+from brasstack.scratch import path
+
+from .common import cut, small_batches, table
 
 LEDGER = "doc_id long, source string, lang string, tokenizer string, docs long, tokens long, chars long"
+#: Folders of a ledger batch by hash of the id: a later batch reads only those that its ids fall into.
+BUCKETS = 16
 KEYS = ["source", "lang", "tokenizer"]
 SUMS = ["docs", "tokens", "chars"]
 
@@ -50,6 +52,10 @@ def counted(docs: DataFrame, versions: dict[str, tuple[str, str, str]]) -> DataF
     return docs.select(F.col("doc_id").cast("long"), *(F.col(c).cast("string") for c in ("source", "lang", "text"))).mapInArrow(run, LEDGER)
 
 
+def bucket():
+    return F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
+
+
 class Rollup:
     """Totals kept under one folder that all executors share."""
 
@@ -67,31 +73,40 @@ class Rollup:
         return sorted(b for b in found if self._exists(f"{self.root}/delta/{b}/_SUCCESS"))
 
     def _read(self, kind: str, schema: str) -> DataFrame:
-        paths = [f"{self.root}/{kind}/{b}" for b in self._committed()]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        out = None
+        for b in self._committed():  # each batch has its own folders by bucket
+            one = self.spark.read.schema(schema).parquet(f"{self.root}/{kind}/{b}")
+            out = one if out is None else out.unionAll(one)
+        return self.spark.createDataFrame([], schema) if out is None else out
 
     def ledger(self) -> DataFrame:
-        return self._read("ledger", LEDGER)
+        return self._read("ledger", LEDGER + ", bucket int")
 
     def apply(self, batch: str, inserts: DataFrame | None = None, deletes: DataFrame | None = None, revisions: DataFrame | None = None) -> bool:
         """Commit a batch; False if it was committed before. inserts and revisions: ledger rows; deletes: doc_id.
 
-        A delete or revision of an unknown document takes nothing away. Rows with a null doc_id can be inserted only.
+        A delete or revision of an unknown document takes nothing away. Rows with a null doc_id can be inserted only:
+        as deletes and revisions they have no effect.
         """
         if self._exists(f"{self.root}/delta/{batch}/_SUCCESS"):
             return False
+        revisions = None if revisions is None else revisions.filter("doc_id IS NOT NULL")
         parts = [x.select("doc_id", *KEYS, *SUMS) for x in (inserts, revisions) if x is not None]
         gone = [x.select("doc_id") for x in (deletes, revisions) if x is not None]
         if gone:
             ids = gone[0] if len(gone) == 1 else gone[0].unionAll(gone[1])
-            held = self.ledger().join(ids.filter("doc_id IS NOT NULL").distinct(), "doc_id", "left_semi")
+            ids = ids.filter("doc_id IS NOT NULL").distinct()
+            touched = [r[0] for r in ids.select(bucket().alias("b")).distinct().collect()]  # at most BUCKETS
+            held = self.ledger().filter(F.col("bucket").isin(touched)).join(ids, "doc_id", "left_semi")
             held = held.groupBy("doc_id", *KEYS).agg(*(F.sum(c).alias(c) for c in SUMS)).filter("docs <> 0 OR tokens <> 0 OR chars <> 0")
             parts.append(held.select("doc_id", *KEYS, *(-F.col(c) for c in SUMS)).toDF("doc_id", *KEYS, *SUMS))
         rows = parts[0] if parts else self.spark.createDataFrame([], LEDGER)
         for x in parts[1:]:
             rows = rows.unionAll(x)
-        rows.write.mode("overwrite").parquet(f"{self.root}/ledger/{batch}")
-        written = self.spark.read.schema(LEDGER).parquet(f"{self.root}/ledger/{batch}")
+        # one row for each id and key, none without effect; rows without an id become one for each key, so no bucket is hot
+        rows = rows.groupBy("doc_id", *KEYS).agg(*(F.sum(c).alias(c) for c in SUMS)).filter("docs <> 0 OR tokens <> 0 OR chars <> 0")
+        rows.withColumn("bucket", bucket()).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/ledger/{batch}")
+        written = self.spark.read.schema(LEDGER + ", bucket int").parquet(f"{self.root}/ledger/{batch}")
         delta = written.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in SUMS))
         delta.write.mode("overwrite").parquet(f"{self.root}/delta/{batch}")
         return True
@@ -104,9 +119,19 @@ class Rollup:
 
 
 def op3_token_counts(spark, sf_dir: str) -> DataFrame:
-    """All documents in one batch, sent twice as after a lost answer; the second has no effect."""
-    roll = Rollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
-    rows = counted(table(spark, sf_dir, "documents"), public_versions())
-    roll.apply("load", inserts=rows)
-    roll.apply("load", inserts=rows)
+    """All documents through every kind of batch, each sent twice as after a lost answer; the second has no effect.
+
+    Those with an id are loaded with provisional counts (a token for every four characters), revised to the counted ones and
+    deleted; then all are inserted, so the totals are those of the documents.
+    """
+    docs = table(spark, sf_dir, "documents")
+    roll, rows = Rollup(spark, path(spark, "rollup")), cut(counted(docs, public_versions()), "counted")
+    for _ in range(2):
+        roll.apply("1-load", inserts=rows.filter("doc_id IS NOT NULL").withColumn("tokens", F.expr("chars div 4")))
+    for _ in range(2):
+        roll.apply("2-count", revisions=rows)
+    for _ in range(2):
+        roll.apply("3-recall", deletes=docs.select(F.col("doc_id").cast("long")))
+    for _ in range(2):
+        roll.apply("4-restore", inserts=rows)
     return roll.totals()
