@@ -2,7 +2,7 @@
 
 Documents longer than a window are first cut into full windows. What is left of each goes, longest first, into the
 open window with the least room that still holds it, found by a segment tree indexed by remaining capacity. Packing
-runs within an input partition, over CHUNK tokens at a time: no shuffle, memory bounded, the same result on a retry.
+runs within an input partition, over CHUNK tokens or PIECES_HELD pieces at a time: no shuffle, memory bounded, the same result on a retry.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ WINDOW = 2048
 END = 1
 #: Tokens of unfinished windows a task holds before it packs and writes them.
 CHUNK = 16_000_000
+#: Pieces it holds then at most.
+PIECES_HELD = 250_000
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -112,7 +114,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END
                     held += n - at
             if full:
                 yield arrow(full)
-            if held >= chunk:
+            if held >= chunk or len(rest) >= PIECES_HELD:
                 held, rows = 0, packed()
                 for i in range(0, len(rows), 4096):
                     yield arrow(rows[i : i + 4096])
