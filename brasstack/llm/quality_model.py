@@ -3,7 +3,8 @@
 Overlapping heuristic labellers vote on every document of the corpus: for, against, or not at all. The counts of vote
 patterns (at most 3 to the number of labellers) are all that expectation-maximisation needs to estimate the labellers'
 accuracies over the whole corpus. Posteriors then label a bounded sample, on which a linear scorer over hashed word
-shapes is trained; it scores every document.
+shapes is trained; it scores every document. A text is read once: its votes and its few features are written down, and
+fitting and scoring read those.
 """
 
 from __future__ import annotations
@@ -47,11 +48,11 @@ class Shapes(dict):
 
 
 def measure(text: str | None, shapes: Shapes) -> tuple[list[int], dict[int, float]]:
-    """The labellers' votes (0 against, 1 for, 2 none) and the scorer's features of a whole text."""
+    """The labellers' votes (0 against, 1 for, 2 none) and the scorer's features of a whole text; no words, no features."""
     ws = (text or "").split()
     n = len(ws)
     if not n:
-        return [0, 2, 2, 2, 2, 2, 2], {0: 1.0}
+        return [0, 2, 2, 2, 2, 2, 2], {}
     counts = Counter(ws)
     feats: dict[int, float] = {}
     upper = symbols = 0
@@ -79,38 +80,38 @@ def measure(text: str | None, shapes: Shapes) -> tuple[list[int], dict[int, floa
 LABELLERS = 7
 
 
-def _votes(batches):
+MEASURED = "doc_id long, votes string, k array<int>, v array<float>"
+
+
+def _measure(batches):
     shapes = Shapes()
     for b in batches:
-        c = Counter(tuple(measure(t, shapes)[0]) for t in b.column("text").to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array(["".join(map(str, k)) for k in c], pa.string()), pa.array(list(c.values()), pa.int64())], names=["votes", "n"])
+        m = [measure(t, shapes) for t in b.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [b.column("doc_id"), pa.array(["".join(map(str, v)) for v, _ in m], pa.string()), pa.array([list(f) for _, f in m], pa.list_(pa.int32())), pa.array([list(f.values()) for _, f in m], pa.list_(pa.float32()))],
+            names=["doc_id", "votes", "k", "v"])
 
 
-def learn(docs: DataFrame) -> tuple[np.ndarray, float, dict]:
-    """Weights of buckets, bias, figures. An empty corpus gives no weights."""
+def measured(docs: DataFrame) -> DataFrame:
+    """(doc_id, votes, k, v) of every row, written: the labellers' votes, the scorer's features and their values."""
     small_batches(docs.sparkSession)
-    texts = docs.select(F.col("text").cast("string"))
-    got = texts.mapInArrow(_votes, "votes string, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()  # at most 3 ** LABELLERS rows
+    return cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_measure, MEASURED), "measured")
+
+
+def learn(rows: DataFrame) -> tuple[np.ndarray, float, dict]:
+    """Weights of buckets, bias, figures from measured rows. An empty corpus gives no weights."""
+    got = rows.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3 ** LABELLERS rows
     if not got:
         return np.zeros(BUCKETS), 0.0, {}
+    got.sort()
     patterns = np.array([[int(v) for v in r["votes"]] for r in got])
     post, rates, prior = dawid_skene(patterns, np.array([r["n"] for r in got]))
     label = dict(zip((r["votes"] for r in got), post.tolist(), strict=True))
-
-    def rows(batches):
-        shapes = Shapes()
-        for b in batches:
-            m = [measure(t, shapes) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([label["".join(map(str, v))] for v, _ in m], pa.float64()), pa.array([list(f) for _, f in m], pa.list_(pa.int32())), pa.array([list(f.values()) for _, f in m], pa.list_(pa.float32()))],
-                names=["y", "k", "v"])
-
-    ids = docs.select(F.col("doc_id").cast("long").alias("_id")).filter("_id IS NOT NULL").distinct().orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
-    some = cut(docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string")).join(F.broadcast(ids), "_id").select("text"), "quality-sample")
-    fit = some.mapInArrow(rows, "y double, k array<int>, v array<float>").collect()  # about SAMPLE rows
+    # rows of a few numbers, SAMPLE of them however ids repeat
+    fit = rows.filter("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id", "votes", "k", "v").limit(SAMPLE).collect()
     if not fit:
         return np.zeros(BUCKETS), 0.0, {}
-    y = np.array([r["y"] for r in fit])
+    y = np.array([label[r["votes"]] for r in fit])
     x = Sparse([r["k"] for r in fit], BUCKETS, [r["v"] for r in fit])
     weight = np.where(y >= 0.5, 0.5 / max((y >= 0.5).mean(), 1e-3), 0.5 / max((y < 0.5).mean(), 1e-3))
     w, b = logistic(x, y, weight, l2=1e-5, l1=1e-5, steps=600)
@@ -123,18 +124,18 @@ def quality(docs: DataFrame) -> DataFrame:
     Null texts are empty texts, of score 0; null ids are scored but not learnt from; repeated rows
     each get their row; an empty table gives no rows; other columns are not read.
     """
-    w, b, _ = learn(docs)
-    w = {int(i): float(w[i]) for i in np.flatnonzero(w)}
+    rows = measured(docs)
+    w, b, _ = learn(rows)
 
     def run(batches):
-        shapes = Shapes()
         for batch in batches:
-            found = (measure(t, shapes)[1] if t and not t.isspace() else None for t in batch.column("text").to_pylist())
-            s = np.array([b + sum(w.get(k, 0.0) * v for k, v in f.items()) if f else -60.0 for f in found], float)
+            k, v = batch.column("k"), batch.column("v")
+            sizes = np.diff(k.offsets.to_numpy())
+            s = np.bincount(np.repeat(np.arange(len(k)), sizes), w[k.flatten().to_numpy()] * v.flatten().to_numpy(zero_copy_only=False).astype(float), len(k)) + b
+            s[sizes == 0] = -60.0
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(s, -60, 60))))], names=["doc_id", "score"])
 
-    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
-    return out.withColumn("kept", F.col("score") >= 0.5)
+    return rows.select("doc_id", "k", "v").mapInArrow(run, "doc_id long, score double").withColumn("kept", F.col("score") >= 0.5)
 
 
 def op2_quality_model(spark, sf_dir: str) -> DataFrame:

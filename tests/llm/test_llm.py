@@ -94,13 +94,50 @@ def components(fps):
     return {v: find(v) for v in fps}
 
 
+def near_groups(rows):
+    """Component of each row's fingerprint, by its place among the distinct ones."""
+    distinct = sorted({f for _, f in rows})
+    return {distinct[v]: root for v, root in components(dict(enumerate(distinct))).items()}
+
+
 def test_simhash(docs, none):
     got = simhash.near_dedup(docs).collect()
     rows = [(r["doc_id"], brute_fingerprint(r["text"])) for r in docs.collect()]
-    assert sorted((r["doc_id"] is None, r["doc_id"], r["fingerprint"]) for r in got if r["doc_id"] is not None) == sorted((False, d, f"{f:016x}") for d, f in rows if d is not None)
-    want = components({d: f for d, f in rows if d is not None})
-    assert all(r["component_id"] == want[r["doc_id"]] for r in got if r["doc_id"] is not None)
-    assert simhash.near_dedup(none).count() == 0 and simhash.drop_near(docs).columns == docs.columns
+    group, low = near_groups(rows), {}
+    for d, f in rows:
+        low[group[f]] = min([x for x in (low.get(group[f]), d) if x is not None], default=None)
+    key = lambda x: tuple((y is None, y) for y in x)
+    assert sorted(((r["doc_id"], r["fingerprint"], r["component_id"]) for r in got), key=key) == sorted(((d, f"{f:016x}", low[group[f]]) for d, f in rows), key=key)
+    kept = simhash.drop_near(docs)
+    assert kept.columns == docs.columns
+    stay = [(r["doc_id"], group[brute_fingerprint(r["text"])]) for r in kept.collect()]
+    assert sorted(g for _, g in stay) == sorted(low) and all(d == low[g] for d, g in stay)
+    assert simhash.near_dedup(none).count() == 0 and simhash.drop_near(none).count() == 0
+
+
+def test_rows_without_ids_join_no_groups(spark):
+    base = [random.Random(i).choices([f"w{k}" for k in range(400)], k=300) for i in range(4)]
+    texts = [" ".join(b) for b in base] + [" ".join([*base[0][:-1], "other"]), " ".join([*base[3][:-1], "other"])]
+    fps = [brute_fingerprint(t) for t in texts]
+    ids = [None, None, 7, 3, None, 9]
+    d = spark.createDataFrame([(i, t, None, None, None, None, None) for i, t in zip(ids, texts)], SCHEMA)
+    got = {r["fingerprint"]: r["component_id"] for r in simhash.near_dedup(d).collect()}
+    near = lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 2
+    assert got[f"{fps[0]:016x}"] is None and got[f"{fps[1]:016x}"] is None and got[f"{fps[2]:016x}"] == 7
+    assert got[f"{fps[5]:016x}"] == (3 if near(3, 5) else 9)
+    assert simhash.drop_near(d).count() == 6 - near(0, 4) - near(3, 5)
+
+
+def test_columns_of_any_name_pass_through(spark):
+    rows = [(1, "same text here", "a", "x"), (2, "same  text here", "b", "y"), (None, "same text here", "c", "z"), (1, "same text here", "a", "x"), (4, "another one", "d", "w")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, _id string, _sha string")
+    for x in ("_row", "_key", "_text", "row", "fp", "v", "sha"):
+        d = d.withColumn(x, F.concat("_id", F.lit(x)))
+    want = sorted(tuple(r) for r in d.filter("doc_id IN (1, 4)").distinct().collect())
+    for f in (exact_dedup.drop_exact, simhash.drop_near):
+        out = f(d)
+        assert out.columns == d.columns and sorted(tuple(r) for r in out.collect()) == want
+    assert quality_rules.keep_good(d, d.select("doc_id")).columns == d.columns and secrets.redacted(d).collect() == d.collect()
 
 
 def test_simhash_links_are_complete(spark, monkeypatch):
@@ -110,11 +147,13 @@ def test_simhash_links_are_complete(spark, monkeypatch):
     for b in base:  # chains and clusters far larger than a group
         for _ in range(60):
             fps.add(b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(1, 4))))
-    fps = dict(enumerate(sorted(fps)))
+    fps = dict(enumerate(sorted(fps, key=simhash._signed)))
     monkeypatch.setattr(simhash, "GROUP", 8)
-    v = spark.createDataFrame([(simhash._signed(f), i) for i, f in fps.items()], "fp long, v long")
+    monkeypatch.setattr(simhash, "TILE", 3)
+    v = spark.createDataFrame([(simhash._signed(f),) for f in fps.values()], "fp long")
     roots = {r["v"]: r["root"] for r in simhash.components(simhash.links(v)).collect()}
-    assert {i: roots.get(i, i) for i in fps} == components(fps)
+    at = {simhash._signed(f): i for i, f in fps.items()}
+    assert {i: at[roots.get(f, f)] for f, i in at.items()} == components(fps)
 
 
 def test_quality_rules(spark, docs, none):
@@ -139,6 +178,57 @@ def test_quality_rules(spark, docs, none):
     assert kept.columns == docs.columns and kept.count() == got.filter("kept").count()
 
 
+def brute_grams(t):
+    """Buckets of a text's words and word pairs: XXH64 with seed 42, as the engine's built-in hash gives it."""
+    h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in WORD.findall(t or "")]
+    mask = quality_rules.BUCKETS - 1
+    return [x & mask for x in h] + [(a ^ (b << 1)) & mask for a, b in zip(h, h[1:])]
+
+
+def brute_scores(rows, good):
+    raw, trusted, total = Counter(), Counter(), 0.0
+    kind = defaultdict(bool)
+    for d, t in rows:
+        kind[t or ""] |= d is not None and d in good
+    for t, g in kind.items():
+        raw.update(brute_grams(t))
+        if g:
+            trusted.update(brute_grams(t))
+    n, m, p = sum(raw.values()), sum(trusted.values()), quality_rules.PRIOR
+
+    def weight(b):
+        others = max(raw[b] - 1, trusted[b])
+        times = trusted[b] / m / (others / n) if others else 1.0
+        return round(1000 * (1 + p) * np.log((times + p) / (1 + p)))
+
+    return {(d, t): sum(map(weight, brute_grams(t))) / max(1, len(brute_grams(t))) if m else 0.0 for d, t in rows}
+
+
+def test_quality_scores_equal_brute_force(docs):
+    good = {i for i in range(0, 30, 2)}
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want = brute_scores(rows, good)
+    got = quality_rules.measured(docs.select("doc_id", "text"), quality_rules.ratios(docs, docs.sparkSession.createDataFrame([(i,) for i in good] + [(None,)], "doc_id long"))).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["score"] == pytest.approx(want[r["doc_id"], r["text"]], abs=1e-6)
+        assert r["kept"] == (not r["base_failed"] and r["score"] >= quality_rules.THRESHOLD)
+
+
+def test_copies_change_no_verdict(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(rng.choices(words, k=80))) for i in range(120)]
+    good = spark.createDataFrame([(i,) for i in range(60)], "doc_id long")
+    seen = []
+    for n, bound in ((1, 500_000), (100, 500_000), (100, 0), (3_000, 500_000)):
+        monkeypatch.setattr(quality_rules, "BROADCAST_ROWS", bound)
+        more = [(1000 + i, rows[110][1]) for i in range(n)] + [(None, rows[3][1])] * (n // 2)
+        d = spark.createDataFrame([(i, t, None, None, None, None, None) for i, t in rows + more], SCHEMA).repartition(5)
+        seen.append({(r["doc_id"], r["score"], r["kept"]) for r in quality_rules.quality_rules(d, good).collect() if r["doc_id"] is not None and r["doc_id"] < 1000})
+    assert len(seen[0]) == 120 and seen[0] == seen[1] == seen[2] == seen[3]
+
+
 def test_ratio_prefers_trusted_text(spark):
     rows = [(i, " ".join(random.Random(i).choices(["good", "fine", "text", "here"], k=80)), None, None, None, None, None) for i in range(30)]
     rows += [(100 + i, " ".join(random.Random(i).choices(["@@", "##", "!!", "$$"], k=80)), None, None, None, None, None) for i in range(30)]
@@ -266,8 +356,84 @@ def test_token_rollup(spark, docs, none, tmp_path):
     revised = known.filter("doc_id = 7").withColumns({"tokens": F.lit(1000).cast("long"), "lang": F.lit("fr")})
     assert roll.apply("3", revisions=revised) and not roll.apply("3", revisions=revised)
     assert totals() == direct(known.filter("doc_id >= 5 AND doc_id <> 7").unionByName(revised))
+    lost = rows.filter("doc_id IS NULL")
+    roll.apply("3b", inserts=lost, revisions=lost)  # rows without an id: inserted once, never revised
+    assert totals() == direct(known.filter("doc_id >= 5 AND doc_id <> 7").unionByName(revised).unionByName(lost))
     roll.apply("4", deletes=docs.select("doc_id"))
-    assert totals() == {} and token_counts.counted(none, token_counts.public_versions()).count() == 0
+    assert totals() == direct(lost) and token_counts.counted(none, token_counts.public_versions()).count() == 0
+
+
+def test_token_counts_equal_whole_texts(spark, tmp_path):
+    import base64
+
+    import public_tokenizers as P
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    rows = [(i, t, ["en", "fr"][i % 2], ["a", "b", None][i % 3], 0) for i, t in enumerate(texts())]
+    rows += [rows[4], (None, "no id here", "en", "a", 0), (None, "no id here", "en", "a", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    word = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    byte = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}, special_tokens={})
+    want = defaultdict(lambda: [0, 0, 0])
+    for _, t, lang, source, _ in rows:
+        for name, n in (("word_bpe_49k@1", len(word.encode(t or "", add_special_tokens=False).ids)), ("byte_bpe_50k@1", len(byte.encode_ordinary(t or "")))):
+            for k, x in enumerate((1, n, len(t or ""))):
+                want[source, lang, name][k] += x
+    got = token_counts.op3_token_counts(spark, str(tmp_path)).collect()
+    assert {(r["source"], r["lang"], r["tokenizer"]): [r["n_docs"], r["n_tokens"], r["n_chars"]] for r in got} == want
+
+
+def brute_lines(rows):
+    """Dropped line numbers of every row, by the same rules in plain Python."""
+    blank = re.compile(r"[\x20\x09\x0B-\x0D]+")
+
+    def masked(line):
+        m = blank.sub(" ", line).strip(" ")
+        ts = m.split(" ")
+        if len(ts) < 3:
+            return m
+        v = [line_dedup.ANY if re.search("[0-9]", t) else t for t in ts]
+        return " ".join(v) if 1 - v.count(line_dedup.ANY) / len(v) >= line_dedup.CONSTANT else m
+
+    found = [(d, k, i, masked(x)) for k, (d, t) in enumerate(rows) for i, x in enumerate((t or "").split("\n"))]
+    found = [(2**63 - 1 if d is None else d, k, i, m) for d, k, i, m in found if m]
+    leaves = defaultdict(list)
+    for d, k, i, m in found:
+        leaves[len(m.split(" ")), tuple(m.split(" ")[:3])].append((d, k, i, m))
+    place = {}
+    for leaf, own in leaves.items():
+        plain = len({m for *_, m in own}) == 1 or len({d for d, *_ in own}) == 1
+        for d, k, i, m in own:
+            ts = m.split(" ")
+            if not plain:
+                spots = [Counter(x.split(" ")[p] for *_, x in own) for p in range(leaf[0])]
+                often = lambda p, t: t != line_dedup.ANY and spots[p][t] >= 2 and spots[p][t] >= line_dedup.SHARE * len(own)
+                sk = [t if often(p, t) else line_dedup.ANY for p, t in enumerate(ts)]
+                if sum(t != line_dedup.ANY for t in sk[3:]) / max(1, len(ts) - 3) >= line_dedup.CONSTANT:
+                    m = " ".join(sk)
+            place[d, k, i] = leaf, m
+    first, last = {}, {}
+    for (d, _, _), t in place.items():
+        first[t], last[t] = min(d, first.get(t, d)), max(d, last.get(t, d))
+    out = defaultdict(list)
+    for (d, k, i), t in place.items():
+        if first[t] < last[t] and d != first[t]:
+            out[k].append(i)
+    return {k: ",".join(map(str, sorted(out[k]))) for k in range(len(rows))}
+
+
+def test_line_dedup_equals_brute_force(spark):
+    rng = random.Random(12)
+    forms = ["user {} logged in from city {}", "error {} at line {} of file main", "the {} is {}", "read 1{} bytes in {} ms", "{} {}", "a b c {} e f g {}"]
+    some = [f"t{k}" for k in range(9)] + ["7", "12", "x9"]
+    rows = [(i if i % 11 else None, "\n".join(rng.choice(forms).format(rng.choice(some), rng.choice(some)) for _ in range(rng.randint(0, 7)))) for i in range(120)]
+    rows += [(500, None), (501, ""), (502, " \n\t\n")]
+    d = spark.createDataFrame([(k, t, None, None, None, None, None) if i is not None else (None, t, None, None, None, None, None) for k, (i, t) in enumerate(rows)], SCHEMA)
+    own = [(None if i is None else k, t) for k, (i, t) in enumerate(rows)]
+    want = brute_lines(own)
+    got = {r["doc_id"]: r["dropped"] for r in line_dedup.line_dedup(d).collect() if r["doc_id"] is not None}
+    assert got == {k: want[k] for k, (i, _) in enumerate(own) if i is not None} and sum(map(bool, got.values())) > 30
 
 
 def test_line_dedup(spark, docs, none):
@@ -340,6 +506,26 @@ def test_toxicity(spark, none):
     assert all(zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 for r in held)
     assert sum(r["predicted"] == (r["doc_id"] % 4 == 0 and r["doc_id"] < 600) for r in held) / len(held) > 0.97
     assert toxicity.toxicity(none, lab).count() == 0 and toxicity.toxicity(docs.limit(3), lab.limit(0)).count() == 3
+    weights, bias, figures = toxicity.learn(docs, lab)
+    assert {v[2:6] for v in figures["voters"]} == {"scum", "vile", "foul"}
+    for r in got:  # scores are those of the weights on whole texts
+        t = next((x[1] for x in rows if x[0] == r["doc_id"]), "")
+        s = bias + sum(weights.get(toxicity.bucket(f), 0.0) for w in toxicity.words(t) for f in toxicity.features(w))
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-s)))
+    many = docs.unionByName(docs.filter("doc_id = 1").withColumn("text", F.explode(F.expr("transform(sequence(1, 500), x -> concat(text, x))"))))
+    assert toxicity.sample(many, lab).count() <= 600
+
+
+def test_label_model_needs_no_labels():
+    rng = np.random.default_rng(1)
+    y = rng.random(5000) < 0.15
+    on = rng.uniform(0.1, 0.4, 12)
+    v = (rng.random((5000, 12)) < np.where(y[:, None], on, 0.0005)).astype(float)
+    v = np.column_stack([v, v[:, 0], v[:, 0]])  # two copies of a voter
+    post, figures = weak.label_model(v, 0.15)
+    fired = v.sum(1) > 0
+    assert ((post > 0.5) == y)[fired].mean() > 0.95 and abs(figures["fires_on"][3] - on[3]) < 0.08
+    assert figures["share"][0] == pytest.approx(1 / 3, abs=0.05) and weak.unlike(v, 20) == list(range(12))
 
 
 def test_quality_model(spark, none):
@@ -351,6 +537,12 @@ def test_quality_model(spark, none):
     got = {r["doc_id"]: r for r in quality_model.quality(docs).collect()}
     assert sum(got[i]["kept"] == (i % 5 != 0) for i in range(300)) / 300 > 0.98 and not got[None]["kept"]
     assert quality_model.quality(none).count() == 0
+    measured = quality_model.measured(docs)
+    w, b, _ = quality_model.learn(measured)
+    shapes = quality_model.Shapes()
+    for i, t, *_ in rows[:40]:
+        s = b + sum(w[k] * np.float32(v) for k, v in quality_model.measure(t, shapes)[1].items())
+        assert got[i]["score"] == pytest.approx(1 / (1 + np.exp(-s)), abs=1e-9)
 
 
 def test_dawid_skene_finds_the_poor_labeller():
