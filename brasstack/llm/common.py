@@ -50,6 +50,14 @@ def stay(docs: DataFrame, key: Column, lost: DataFrame, twice: DataFrame) -> Dat
     return out.select("_row.*")
 
 
+def fewest(rows: DataFrame, key: Column, size: int, n: int) -> DataFrame:
+    """The n of `size` rows with the smallest hash key, ties by all columns. Rows far above the expected cut are left out
+    first, so that partitions don't each send n rows to one place."""
+    if size > 4 * n:
+        rows = rows.filter(F.pmod(key, F.lit(1 << 40)) < int(2 * n / size * (1 << 40)))
+    return rows.orderBy(F.pmod(key, F.lit(1 << 40)), *rows.columns).limit(n)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound Arrow batches for long texts, where the session's own bounds are wider; narrower ones stay.
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, table
+from .common import cut, fewest, small_batches, table
 from .weak import Sparse, label_model, logistic, unlike
 
 #: Labelled rows of either label used for learning at most: those with the smallest hash of their id.
@@ -52,7 +52,9 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(text, y) of at most PER_LABEL rows of either label outside the held-out fold."""
     own = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("y")).filter("_id IS NOT NULL AND y IN (0, 1)")
     own = own.filter(~held_out("_id")).groupBy("_id").agg(F.max("y").alias("y"))
-    some = [own.filter(F.col("y") == k).orderBy(F.xxhash64("_id"), "_id").limit(PER_LABEL) for k in (0, 1)]
+    own = cut(own, "labelled")
+    sizes = dict(own.groupBy("y").count().collect())
+    some = [fewest(own.filter(F.col("y") == k), F.xxhash64("_id"), sizes.get(k, 0), PER_LABEL) for k in (0, 1)]
     ids = F.broadcast(some[0].unionAll(some[1]))  # at most 2 * PER_LABEL rows of 12 bytes
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     met = docs.select(F.col("doc_id").cast("long").alias("_id"), text.alias("text")).join(ids, "_id")
