@@ -110,28 +110,3 @@ def cache_key(url: Column, params: Column | None = None) -> Column:
         return F.sha2(url, 256)
     parts = F.transform(F.array_sort(F.map_entries(params)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return F.sha2(F.concat(url, F.lit("?"), F.array_join(parts, "&")), 256)
-
-
-def constraint_block(c: Column) -> Column:
-    return F.concat(F.lit("Constraints:\n- Budget: "), c["budget"], F.lit("\n- Environment: "), c["environment"], F.lit("\n- Infrastructure: "), c["infrastructure"])
-
-
-def mcq_prompt(context: Column, constraints: Column, inventory: Column, options: Column) -> Column:
-    parts = [context, F.lit("\n\n"), constraint_block(constraints), F.lit("\n\nAvailable materials: "), F.array_join(inventory, ", "), F.lit("\n\nOptions:\n")]
-    for k in "ABCD":
-        parts += [F.lit(f"{k}) "), options[k], F.lit("\n")]
-    return F.concat(*parts, F.lit("\nChoose the best option (A, B, C, or D):"))
-
-
-def opengen_prompt(context: Column, constraints: Column, inventory: Column) -> Column:
-    items = F.array_join(F.transform(inventory, lambda x: F.concat(F.lit("  - "), x)), "\n")
-    end = "\n\nDescribe a solution using only the available materials. Explain the physical mechanism and how each material is used."
-    return F.concat(context, F.lit("\n\n"), constraint_block(constraints), F.lit("\n\nAvailable inventory:\n"), items, F.lit(end))
-
-
-def judge_prompt(inventory: Column, essential: Column, forbidden: Column, mechanism: Column, output: Column) -> Column:
-    """What a judge is shown: inventory, rubric and answer."""
-    def line(name, value):
-        return [F.lit(f"{name}: "), value, F.lit("\n")]
-    return F.concat(*line("Available inventory", F.array_join(inventory, ", ")), *line("Essential keywords", F.array_join(essential, ", ")),
-                    *line("Forbidden keywords", F.array_join(forbidden, ", ")), *line("Required mechanism", mechanism), F.lit("Answer:\n"), output)

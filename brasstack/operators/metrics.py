@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brasstack.functions.text import triggered
+from brasstack.functions.text import budget_tier, triggered
 
 
 def zero_if_null(c: Column) -> Column:
@@ -68,6 +68,7 @@ def two_stage(guarded: DataFrame, scores: DataFrame) -> DataFrame:
     failed = F.col("filter_result") == "auto_fail"
     parts = ("constraint_adherence", "inventory_utilization", "physical_viability")
     out = met.withColumns({p: F.when(failed, 0).otherwise(F.col(p)) for p in parts})
+    # fixed value: the reason's wording
     reason = F.concat(F.lit("AUTO_FAIL: forbidden keywords ['"), F.array_join("triggered_keywords", "', '"), F.lit("']"))
     return out.withColumns({"auto_fail": failed, "total_score": total_score(*parts), "reason": F.when(failed, reason)})
 
@@ -85,3 +86,31 @@ def evaluate(completions: DataFrame, problems: DataFrame, verified: DataFrame) -
     modes = failure_modes(judged, ["model_name"]).drop("total")
     return (flat.join(mcq, "model_name", "left").join(avg, "model_name", "left").join(modes, "model_name", "left")
             .na.fill(0.0, ["mcq_accuracy", "open_gen_average"]).na.fill(0, ["n_judged", "constraint_violations", "physical_hallucinations", "task_abandonments"]))
+
+
+def nested_result(completions: DataFrame, problems: DataFrame, verified: DataFrame) -> DataFrame:
+    """evaluate() with maps: domain to its accuracy and average (domains without rows have 0), budget label to its average."""
+    models = completions.select("model_name").distinct()
+    grid = models.join(F.broadcast(problems.select("domain").distinct()), how="cross")  # a handful of either
+    mcq = mcq_accuracy(completions, problems.select("problem_id", "domain", "truth"), ["model_name", "domain"]).select("model_name", "domain", F.col("accuracy").alias("mcq"))
+    judged = verified.filter("total_score IS NOT NULL").join(problems.select("problem_id", "domain", "budget"), "problem_id")
+    og = average_score(judged, ["model_name", "domain"]).select("model_name", "domain", F.col("average").alias("open_gen"))
+    cells = grid.join(mcq, ["model_name", "domain"], "left").join(og, ["model_name", "domain"], "left").na.fill(0.0, ["mcq", "open_gen"])
+    pairs = lambda *c: F.map_from_entries(F.array_sort(F.collect_list(F.struct(*c))))
+    domains = cells.groupBy("model_name").agg(pairs("domain", F.struct("mcq", "open_gen")).alias("domain_performance"))
+    label = F.concat(F.lit("₹"), budget_tier(F.col("budget")).cast("string"))
+    tiers = judged.groupBy("model_name", label.alias("label")).agg(F.avg("total_score").alias("average")).groupBy("model_name").agg(pairs("label", "average").alias("budget_tier_performance"))
+    return evaluate(completions, problems, verified).join(domains, "model_name", "left").join(tiers, "model_name", "left")
+
+
+def dry_run(prompts: DataFrame, models: DataFrame, out_tokens: tuple[int, int] = (50, 300)) -> DataFrame:
+    """A row per model, and one of model_name null for all: prompts have mcq_tokens and opengen_tokens, models model_name,
+    per_k_in, per_k_out; each problem is taken to be answered with out_tokens. Costs are rounded to 4 digits, the grand total
+    is that of rounded ones."""
+    total = prompts.agg(F.count(F.lit(1)).alias("n_problems"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("mcq_tokens", "opengen_tokens")])  # one row
+    both = models.join(F.broadcast(total), how="cross")
+    cost = lambda c, n: token_cost(F.col(c), n * F.col("n_problems"), F.col("per_k_in"), F.col("per_k_out"))
+    mcq, og = cost("mcq_tokens", out_tokens[0]), cost("opengen_tokens", out_tokens[1])
+    each = both.select("model_name", "n_problems", "mcq_tokens", "opengen_tokens", F.round(mcq, 4).alias("mcq_cost"), F.round(og, 4).alias("opengen_cost"), F.round(mcq + og, 4).alias("total_cost"))
+    grand = each.agg(F.max("n_problems").alias("n_problems"), F.round(F.sum("total_cost"), 4).alias("total_cost"))
+    return each.unionByName(grand, allowMissingColumns=True)

@@ -39,6 +39,7 @@ def instance_id(seed: Column, k: Column) -> Column:
 
 
 def problem_id(instance: Column) -> Column:
+    # fixed value: how ids begin
     return F.concat(F.lit("JR-1K-"), F.split_part(instance, F.lit("_"), F.lit(2)), F.lit("-"), F.split_part(instance, F.lit("_"), F.lit(3)))
 
 
@@ -48,15 +49,6 @@ def validate(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return df.withColumn("errors", errors).withColumn("valid", F.size("errors") == 0)
 
 
-def seed_rules() -> dict[str, Column]:
-    return {
-        "seed_id": F.col("seed_id").rlike(r"^SEED_\d{3}$"), "domain": F.col("domain").isin("agriculture", "construction", "healthcare", "street_vending"),
-        "target_goal": F.length("target_goal") >= 20, "core_physics_mechanism": F.length("core_physics_mechanism") >= 10,
-        "historical_materials_used": (F.size("historical_materials_used") >= 1) & F.forall("historical_materials_used", lambda m: F.length(F.regexp_replace(m, r"(?U)^\s+|\s+$", "")) >= 3),
-        "source_reference": F.length("source_reference") >= 5,
-    }
-
-
 def require_some(checked: DataFrame, show: int = 10) -> DataFrame:
     """The valid rows; raises with the first errors only if none is valid though there are rows."""
     good = checked.filter("valid")
@@ -88,3 +80,31 @@ def pages_until_stop(cards: DataFrame, key: Column) -> DataFrame:
     idle = cards.select("category", "page").distinct().join(new, ["category", "page"], "left_anti")
     stop = idle.groupBy("category").agg(F.min("page").alias("_stop"))
     return fresh.join(stop, "category", "left").filter("_stop IS NULL OR page < _stop").drop("_stop")
+
+
+def head(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first n rows in an explicit order."""
+    return df.orderBy(*order).limit(n)
+
+
+def chosen(sources: dict[str, DataFrame], names: list[str] | None = None) -> DataFrame:
+    """The union of the sources that are named (all where none are), columns by name. One that failed (see attempted)
+    is left out."""
+    parts = [df for k, df in sources.items() if (not names or k in names) and df is not None]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x, allowMissingColumns=True)
+    return out
+
+
+def attempted(make: dict) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """Sources by name from functions that make them, and the errors of those that failed."""
+    good, bad = {}, {}
+    for name, f in make.items():
+        try:
+            good[name] = f()
+            good[name].limit(1).count()
+        except Exception as e:  # noqa: BLE001 - one source's failure must not end the others
+            good.pop(name, None)
+            bad[name] = str(e)[:500]
+    return good, bad

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from brasstack.functions import prompts as P
 from brasstack.functions import text as T
-from brasstack.operators import dedup, metrics, sample, select
+from brasstack.operators import dedup, metrics, models, sample, select
 from brasstack.plans.fixtures import DOMAINS, oracle, read, view
 from brasstack.scratch import path
 from brasstack.sources import scans
@@ -299,13 +300,32 @@ def pricing_prefix_join(spark, sf):
     return select.priced(completions(spark, sf).select("model_name").distinct(), prices(spark), (0.001, 0.002)).select("model_name", "price_key", "per_k_in", "per_k_out")
 
 
-@query("""SELECT model_name, tokens, n_problems, round(tokens / 1000.0 * 0.001 + 50.0 * n_problems / 1000.0 * 0.002, 4) AS mcq_cost, round(tokens / 1000.0 * 0.001 + 300.0 * n_problems / 1000.0 * 0.002, 4) AS opengen_cost
-  FROM (SELECT CAST(sum(length(text)) AS bigint) AS tokens, count(*) AS n_problems FROM {problems}) CROSS JOIN (SELECT DISTINCT model_name FROM {completions})""")
+_LIMITS = {k: k for k in ("budget", "environment", "infrastructure")}
+_SHOWN = _LIMITS | {"prompt_context": "text", "inventory": "(lang || ', ' || source)", "items": "('  - ' || lang || chr(10) || '  - ' || source)"}
+_MCQ = P.sql_fill(P.MCQ, **_SHOWN, **{k: f"('option {k} ' || domain)" for k in "ABCD"})
+_OPENGEN = P.sql_fill(P.OPENGEN, **_SHOWN)
+
+
+def _shown(spark, sf):
+    p = problems(spark, sf)
+    return p.withColumns({"c": F.struct("budget", "environment", "infrastructure"), "inv": F.array(F.col("lang"), F.col("source")), "o": F.struct(*[F.concat(F.lit(f"option {k} "), F.col("domain")).alias(k) for k in "ABCD"])})
+
+
+def _asked(spark, sf):
+    c = F.col
+    return _shown(spark, sf).select("problem_id", P.mcq_prompt(c("text"), c("c"), c("inv"), c("o")).alias("mcq"), P.opengen_prompt(c("text"), c("c"), c("inv")).alias("opengen"))
+
+
+@query(f"""WITH p AS (SELECT * FROM (VALUES {_PRICES}) v(ord, price_key, a, b)), m AS (SELECT DISTINCT model_name FROM {{completions}}),
+  r AS (SELECT model_name, a, b, row_number() OVER (PARTITION BY model_name ORDER BY model_name <> price_key, ord) AS rn FROM m JOIN p ON starts_with(model_name, price_key) OR starts_with(price_key, model_name)),
+  c AS (SELECT model_name, CAST(coalesce(a, 0.001) AS double) AS a, CAST(coalesce(b, 0.002) AS double) AS b FROM m LEFT JOIN (SELECT * FROM r WHERE rn = 1) USING (model_name)),
+  t AS (SELECT count(*) AS n_problems, CAST(sum(CAST(ceil(length({_MCQ}) / 4) AS bigint)) AS bigint) AS mcq_tokens, CAST(sum(CAST(ceil(length({_OPENGEN}) / 4) AS bigint)) AS bigint) AS opengen_tokens FROM {{problems}}),
+  x AS (SELECT *, CAST(mcq_tokens AS double) / 1000 * a + 50.0::double * n_problems / 1000 * b AS mc, CAST(opengen_tokens AS double) / 1000 * a + 300.0::double * n_problems / 1000 * b AS oc FROM c CROSS JOIN t),
+  e AS (SELECT model_name, n_problems, mcq_tokens, opengen_tokens, round(mc, 4) AS mcq_cost, round(oc, 4) AS opengen_cost, round(mc + oc, 4) AS total_cost FROM x)
+  SELECT * FROM e UNION ALL SELECT NULL, max(n_problems), NULL, NULL, NULL, NULL, round(sum(total_cost), 4) FROM e""")
 def dry_run_cost(spark, sf):
-    total = problems(spark, sf).agg(F.sum(F.length("text")).cast("long").alias("tokens"), F.count(F.lit(1)).alias("n_problems"))  # one row
-    both = completions(spark, sf).select("model_name").distinct().crossJoin(F.broadcast(total))
-    price = lambda n: F.round(metrics.token_cost(F.col("tokens"), n * F.col("n_problems"), F.lit(0.001), F.lit(0.002)), 4)
-    return both.withColumns({"mcq_cost": price(50), "opengen_cost": price(300)})
+    counts = _asked(spark, sf).select(P.token_count(F.col("mcq")).alias("mcq_tokens"), P.token_count(F.col("opengen")).alias("opengen_tokens"))
+    return metrics.dry_run(counts, pricing_prefix_join(spark, sf))
 
 
 @query("SELECT coalesce(nullif(lang, ''), 'unknown') AS category, count(*) AS n FROM {documents} GROUP BY 1")
@@ -320,30 +340,78 @@ def domain_target_check(spark, sf):
     return want.join(have, "domain", "left").na.fill(0, ["n"]).withColumn("met", F.col("n") >= F.col("target"))
 
 
-def _shown(spark, sf):
-    p = problems(spark, sf)
-    return p.withColumns({"c": F.struct("budget", "environment", "infrastructure"), "inv": F.array(F.col("lang"), F.col("source")), "o": F.struct(*[F.concat(F.lit(f"option {k} "), F.col("domain")).alias(k) for k in "ABCD"])})
+@query(f"SELECT problem_id, sha256({_MCQ}) AS prompt FROM {{problems}}")
+def prompt_mcq(spark, sf):
+    return _asked(spark, sf).select("problem_id", F.sha2("mcq", 256).alias("prompt"))
 
 
-_C = "'Constraints:\n- Budget: ' || budget || '\n- Environment: ' || environment || '\n- Infrastructure: ' || infrastructure"
+@query(f"SELECT problem_id, sha256({_OPENGEN}) AS prompt FROM {{problems}}")
+def prompt_opengen(spark, sf):
+    return _asked(spark, sf).select("problem_id", F.sha2("opengen", 256).alias("prompt"))
 
 
-@query(f"""SELECT problem_id, sha256(text || '\n\n' || {_C} || '\n\nAvailable materials: ' || lang || ', ' || source || '\n\nOptions:\n' || {" || ".join(f"'{k}) option {k} ' || domain || '\n'" for k in "ABCD")} || '\nChoose the best option (A, B, C, or D):') AS prompt FROM {{problems}}""")
-def prompt_mcq(spark, sf):
-    c = F.col
-    return _shown(spark, sf).select("problem_id", F.sha2(T.mcq_prompt(c("text"), c("c"), c("inv"), c("o")), 256).alias("prompt"))
+_JUDGE = P.sql_fill(P.JUDGE, **_SHOWN, essential="'lever'", forbidden="'motor, pump'", mechanism="'leverage'", output="raw_output")
 
 
-@query(f"""SELECT problem_id, sha256(text || '\n\n' || {_C} || '\n\nAvailable inventory:\n  - ' || lang || '\n  - ' || source || '\n\nDescribe a solution using only the available materials. Explain the physical mechanism and how each material is used.') AS prompt FROM {{problems}}""")
-def prompt_opengen(spark, sf):
-    c = F.col
-    return _shown(spark, sf).select("problem_id", F.sha2(T.opengen_prompt(c("text"), c("c"), c("inv")), 256).alias("prompt"))
+@query(f"SELECT problem_id, turn, sha256({_JUDGE}) AS prompt FROM {{completions}} JOIN (SELECT problem_id, text, budget, environment, infrastructure, lang, source FROM {{problems}}) USING (problem_id)")
+def prompt_judge(spark, sf):
+    words = lambda *x: F.array(*map(F.lit, x))
+    rubric = F.struct(words("lever").alias("essential_keywords"), words("motor", "pump").alias("forbidden_keywords"), F.lit("leverage").alias("required_physical_mechanism"))
+    met = completions(spark, sf).join(_shown(spark, sf).select("problem_id", "text", "c", "inv"), "problem_id")
+    return met.select("problem_id", "turn", F.sha2(P.judge_prompt(F.col("text"), F.col("c"), F.col("inv"), rubric, F.col("raw_output")), 256).alias("prompt"))
 
 
-@query("""SELECT problem_id, turn, sha256('Available inventory: rope, tin' || '\nEssential keywords: lever' || '\nForbidden keywords: motor, pump' || '\nRequired mechanism: leverage' || '\nAnswer:\n' || raw_output) AS prompt FROM {completions}""")
-def prompt_judge(spark, sf):
-    lits = lambda *x: F.array(*map(F.lit, x))
-    return completions(spark, sf).select("problem_id", "turn", F.sha2(T.judge_prompt(lits("rope", "tin"), lits("lever"), lits("motor", "pump"), F.lit("leverage"), F.col("raw_output")), 256).alias("prompt"))
+_EXTRACT = P.sql_fill(P.EXTRACTION, source="source", url_or_path="('doc/' || doc_id)", raw_text=f"left(text, {P.RAW_CHARS})", title="'N/A'", innovator_name="'N/A'", location="'N/A'", category="coalesce(nullif(lang, ''), 'N/A')")
+
+
+@query(f"SELECT doc_id, sha256({_EXTRACT}) AS prompt FROM {{documents}}")
+def prompt_extraction(spark, sf):
+    none = F.lit(None).cast("string")
+    cases = read(spark, sf, "documents").select("doc_id", "source", F.concat(F.lit("doc/"), "doc_id").alias("url_or_path"), F.col("text").alias("raw_text"), none.alias("title"),
+                                                F.lit("").alias("innovator_name"), none.alias("location"), F.col("lang").alias("category"))
+    return cases.select("doc_id", F.sha2(P.extraction_prompt(), 256).alias("prompt"))
+
+
+_GIVEN = {"core_physics_mechanism": "('mechanism of ' || source)", "domain": "domain", "target_goal": "text"}
+_MUTATE = P.sql_fill(P.MUTATION, **_GIVEN, **_LIMITS, materials="(lang || ', ' || source)")
+_FORMAT = P.sql_fill(P.FORMATTING, **_GIVEN, **_LIMITS, instance_id="('MI_' || problem_id)", items="('  - ' || lang || chr(10) || '  - ' || source)", context_narrative="text", materials="(lang || ', ' || source)")
+
+
+@query(f"SELECT problem_id, sha256({_MUTATE}) AS mutation, sha256({_FORMAT}) AS formatting FROM {{problems}}")
+def prompt_dataset(spark, sf):
+    both = F.array("lang", "source")
+    rows = problems(spark, sf).withColumns({
+        "target_goal": F.col("text"), "core_physics_mechanism": F.concat(F.lit("mechanism of "), "source"), "historical_materials_used": both, "original_materials": both, "adjusted_inventory": both,
+        "instance_id": F.concat(F.lit("MI_"), "problem_id"), "context_narrative": F.col("text"), "applied_constraints": F.struct("budget", "environment", "infrastructure")})
+    return rows.select("problem_id", F.sha2(P.mutation_prompt(), 256).alias("mutation"), F.sha2(P.formatting_prompt(), 256).alias("formatting"))
+
+
+@query(f"""WITH {_ANSWERED}, {_MET}, {_TWO}, g AS (SELECT model_name, domain FROM (SELECT DISTINCT model_name FROM {{completions}}) CROSS JOIN (SELECT DISTINCT domain FROM {{problems}})),
+  a AS (SELECT model_name, domain, avg(ok) AS mcq FROM met GROUP BY 1, 2), o AS (SELECT model_name, domain, avg(total_score) AS og FROM verified JOIN {{problems}} USING (problem_id) WHERE total_score IS NOT NULL GROUP BY 1, 2)
+  SELECT model_name, domain, coalesce(mcq, 0) AS mcq, coalesce(og, 0) AS open_gen FROM g LEFT JOIN a USING (model_name, domain) LEFT JOIN o USING (model_name, domain)""")
+def result_domains(spark, sf):
+    out = metrics.nested_result(answered(spark, sf), problems(spark, sf), verified(spark, sf))
+    return out.select("model_name", F.explode("domain_performance").alias("domain", "p")).select("model_name", "domain", "p.mcq", "p.open_gen")
+
+
+@query(f"""WITH {_TWO} SELECT model_name, budget AS label, avg(total_score) AS average FROM verified JOIN {{problems}} USING (problem_id) WHERE total_score IS NOT NULL GROUP BY ALL""")
+def result_tiers(spark, sf):
+    out = metrics.nested_result(answered(spark, sf), problems(spark, sf), verified(spark, sf))
+    return out.select("model_name", F.explode("budget_tier_performance").alias("label", "average"))
+
+
+_SEED_ERRORS = """list_filter([CASE WHEN length('SEED_' || doc_id) <> 8 THEN 'seed_id' END, CASE WHEN lang NOT IN ('en', 'fr') THEN 'domain' END, CASE WHEN length(split_part(text, chr(10), 1)) < 20 THEN 'target_goal' END,
+  CASE WHEN length(split_part(text, ' ', 3)) < 10 THEN 'core_physics_mechanism' END, CASE WHEN length(source) < 5 THEN 'source_reference' END,
+  CASE WHEN length(split_part(text, ' ', 1)) < 3 OR length(split_part(text, ' ', 2)) < 3 THEN 'historical_materials_used' END], lambda x: x IS NOT NULL)"""
+
+
+@query(f"SELECT doc_id, array_to_string({_SEED_ERRORS}, ',') AS errors FROM {{documents}}")
+def validate_seeds(spark, sf):
+    word = lambda n: F.split_part("text", F.lit(" "), F.lit(n))
+    rows = read(spark, sf, "documents").select(
+        "doc_id", F.concat(F.lit("SEED_"), "doc_id").alias("seed_id"), F.when(F.col("lang") == "en", "agriculture").when(F.col("lang") == "fr", "healthcare").otherwise(F.col("lang")).alias("domain"),
+        F.split_part("text", F.lit("\n"), F.lit(1)).alias("target_goal"), word(3).alias("core_physics_mechanism"), F.array(word(1), word(2)).alias("historical_materials_used"), F.col("source").alias("source_reference"))
+    return select.validate(rows, models.seed_rules()).select("doc_id", F.array_join("errors", ",").alias("errors"))
 
 
 @query("""SELECT problem_id, array_to_string(list_filter([CASE WHEN length(text) < 50 THEN 'prompt_context' END, CASE WHEN NOT regexp_matches(source, '^src[0-9]$') THEN 'source' END, CASE WHEN lang NOT IN ('en', 'de') THEN 'lang' END], lambda x: x IS NOT NULL), ',') AS errors FROM {problems}""")
@@ -464,10 +532,15 @@ def id_batches(spark, sf):
 
 @query()
 def newsletter_entries(spark, sf):
-    return scans.newsletter_entries(read(spark, sf, "pages"))
+    inside = F.concat(F.lit('<div><div class="content">'), F.regexp_replace("html", "(?i)<(/?)h1", "<$1h2"), F.lit("</div></div>"))
+    return scans.newsletter_entries(read(spark, sf, "pages").select("page_id", inside.alias("html")))
 
 
-@query()
+_HREFS = """SELECT page_id, url, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS href FROM {pages}"""
+
+
+@query(f"""SELECT DISTINCT page_id, CASE WHEN regexp_matches(href, '^[a-z]+:') THEN href WHEN starts_with(href, '/') THEN regexp_extract(url, '^[a-z]+://[^/]+') || href
+  ELSE regexp_replace(url, '[^/]*$', '') || href END AS href FROM ({_HREFS}) WHERE contains(lower(href), 'http') OR contains(lower(href), '/')""")
 def newsletter_links(spark, sf):
     return scans.links(read(spark, sf, "pages"), ["http", "/"])
 
@@ -475,10 +548,16 @@ def newsletter_links(spark, sf):
 @query()
 def text_segments(spark, sf):
     texts = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    return scans.entry_metadata(scans.segments(texts)).select("id", "pos", F.length("segment").alias("n"), "title", "innovator_name", "location", "category")
+    return scans.segments(texts).select("id", "pos", F.length("segment").alias("n"), "title", "innovator_name", "location", "category")
 
 
-@query()
+_WORDS = "SELECT CAST(floor(event_id / 100) AS bigint) AS page, value AS top, CAST(user_id AS double) AS x0, event_type AS text FROM {events}"
+
+
+@query(f"""WITH RECURSIVE w AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY top, x0, text) AS k FROM ({_WORDS})),
+  l AS (SELECT page, k, top AS anchor, 0 AS line, text FROM w WHERE k = 1 UNION ALL SELECT w.page, w.k, CASE WHEN abs(w.top - l.anchor) > 5 THEN w.top ELSE l.anchor END,
+  CASE WHEN abs(w.top - l.anchor) > 5 THEN l.line + 1 ELSE l.line END, w.text FROM l JOIN w ON w.page = l.page AND w.k = l.k + 1)
+  SELECT page, CAST(line AS int) AS line, string_agg(text, ' ' ORDER BY k) AS text FROM l GROUP BY page, line""")
 def layout_lines(spark, sf):
     words = read(spark, sf, "events").select((F.col("event_id") / 100).cast("long").alias("page"), F.col("value").alias("top"), F.col("user_id").cast("double").alias("x0"), F.col("event_type").alias("text"))
     return scans.layout_lines(words)

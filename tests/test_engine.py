@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brasstack.functions import text as T
-from brasstack.operators import dedup, metrics, sample, select
+from brasstack.operators import dedup, metrics, models, sample, select
 from brasstack import scratch
 from brasstack.plans import queries
 from brasstack.plans.completer import PerPartition, Replay
@@ -176,7 +176,7 @@ def test_validation(spark):
     ok = ("SEED_001", "healthcare", "g" * 20, "m" * 10, ["rope"], "r" * 5)
     bad = ("INVALID_ID", "x", "short", None, ["  ab "], "r")
     df = spark.createDataFrame([ok, bad], "seed_id string, domain string, target_goal string, core_physics_mechanism string, historical_materials_used array<string>, source_reference string")
-    checked = select.validate(df, select.seed_rules())
+    checked = select.validate(df, models.seed_rules())
     assert {r["seed_id"]: len(r["errors"]) for r in checked.collect()} == {"SEED_001": 0, "INVALID_ID": 6}
     assert select.require_some(checked).count() == 1
     with pytest.raises(ValueError):
@@ -186,11 +186,11 @@ def test_validation(spark):
 def test_scans(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"x": 1}\n\n{bad\n{"x": 2}\n')
     assert sorted(r["x"] for r in scans.jsonl(spark, str(tmp_path / "a.jsonl"), "x int").collect()) == [1, 2]
-    pages = spark.createDataFrame([(1, "http://h/a/", '<div>MARK<h3>One</h3><a href="b/1">go</a><b>Head</b><p>' + "body " * 8 + "</p>"), (2, "u", None)], "page_id long, url string, html string")
+    pages = spark.createDataFrame([(1, "http://h/a/", '<div>MARK<h3>One</h3><a href="b/1">go</a><b>Headed</b><p>' + "body " * 8 + "</p></div>"), (2, "u", None)], "page_id long, url string, html string")
     card = scans.html_cards(pages, "MARK", "<h3>(.*?)</h3>", 'href="([^"]+)"').first()
     assert (card["title"], card["link"]) == ("One", "b/1")
     assert scans.links(pages, ["b/"]).first()["href"] == "http://h/a/b/1"
-    assert [r["title"] for r in scans.newsletter_entries(pages).collect()] == ["Head"]
+    assert [r["title"] for r in scans.newsletter_entries(pages).collect()] == ["Headed"]
     words = spark.createDataFrame([(1, 10.0, 5.0, "b"), (1, 9.0, 1.0, "a"), (1, 13.0, 0.0, "c"), (1, 15.5, 0.0, "d")], "page long, top double, x0 double, text string")
     assert [r["text"] for r in scans.layout_lines(words).orderBy("line").collect()] == ["a b c", "d"]
     at = [(1, 600.0, 279.0)] * 11 + [(1, 600.0, 320.0)] * 11 + [(2, 600.0, 280.0)] * 11 + [(2, 600.0, 320.0)] * 11 + [(3, 600.0, 10.0)] * 10 + [(3, 600.0, 500.0)] * 20
