@@ -34,12 +34,15 @@ def _constant(m):
 def lines(docs: DataFrame) -> DataFrame:
     """(id, th, pos, m, n, leaf): every line but blank ones, the variable tokens of MIN_TOKENS or more masked if at least CONSTANT stay; th tells texts of one id apart."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    parts = docs.select(long_id().alias("id"), F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    # most lines have single spaces only, which need no replacing
-    single = F.when(F.col("line").rlike(r"[\x09\x0B-\x0D]|\x20\x20"), F.regexp_replace("line", r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(F.col("line"))
+    # worked out below the generator, once a text; most texts have single spaces only or no digits, so their lines needn't
+    # be looked at for these
+    own = docs.select(long_id().alias("id"), text.alias("text")).select(
+        "id", "text", F.xxhash64("text").alias("th"), F.col("text").rlike(r"[\x09\x0B-\x0D]|\x20\x20").alias("_wide"), F.col("text").rlike("[0-9]").alias("_digits"))
+    parts = own.select("id", "th", "_wide", "_digits", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    single = F.when(F.col("_wide"), F.regexp_replace("line", r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(F.col("line"))
     flat = parts.withColumn("m", F.trim(single))
     masked = F.transform(F.array(F.regexp_replace("m", r"(?<!\S)[^\s0-9]*+[0-9]\S*+", ANY)), lambda x: F.when(_constant(x) >= CONSTANT, x).otherwise(F.col("m")))[0]
-    masked = F.when(F.col("m").rlike("[0-9]") & (_tokens(F.col("m")) >= MIN_TOKENS), masked).otherwise(F.col("m"))
+    masked = F.when(F.col("_digits") & F.col("m").rlike("[0-9]") & (_tokens(F.col("m")) >= MIN_TOKENS), masked).otherwise(F.col("m"))
     # the partition number keeps the filter above the masking, which it would repeat below
     flat = flat.select("id", "th", "pos", masked.alias("m"), F.spark_partition_id().alias("_part"))
     flat = flat.withColumn("n", _tokens(F.col("m"))).filter((F.col("m") != "") & (F.col("_part") >= 0)).drop("_part")
