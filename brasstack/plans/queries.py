@@ -10,7 +10,7 @@ from brasstack.functions import text as T
 from brasstack.operators import dedup, metrics, models, sample, select
 from brasstack.plans.fixtures import DOMAINS, oracle, read, view
 from brasstack.scratch import path
-from brasstack.sources import scans
+from brasstack.sources import config, scans, sinks
 from brasstack.streaming import resume
 
 QUERIES: dict = {}
@@ -561,3 +561,132 @@ _WORDS = "SELECT CAST(floor(event_id / 100) AS bigint) AS page, value AS top, CA
 def layout_lines(spark, sf):
     words = read(spark, sf, "events").select((F.col("event_id") / 100).cast("long").alias("page"), F.col("value").alias("top"), F.col("user_id").cast("double").alias("x0"), F.col("event_type").alias("text"))
     return scans.layout_lines(words)
+
+
+# Fixed values of the test fixture: a small registry of models.
+REGISTRY = {"data": {"domain_distribution": QUOTAS}, "constraints": {"financial": [], "environmental": [], "infrastructural": []},
+            "models": {"frontier": [{"name": "m1", "provider": "openai", "model_id": "one"}], "open_weights": [{"name": "m0", "provider": "vllm", "model_id": "nil", "max_tokens": 9}],
+                       "indic_native": [{"name": "m9", "provider": "vllm", "model_id": "nine"}]}}
+
+
+@query("SELECT * FROM (VALUES (0, 'frontier', 'm1', 1024), (1, 'open_weights', 'm0', 9), (2, 'indic_native', 'm9', 1024)) v(ord, tier, name, max_tokens) WHERE name IN (SELECT model_name FROM {completions})")
+def model_registry(spark, sf):
+    dim = config.model_dim(spark, config.parse_config(REGISTRY))
+    names = [r[0] for r in completions(spark, sf).select("model_name").distinct().collect()]  # a handful of models
+    return config.only(dim, names).select("ord", "tier", "name", "max_tokens")
+
+
+@query("SELECT domain, CAST(row_number() OVER (ORDER BY q) - 1 AS int) AS ord, quota FROM (VALUES (0, 'street_vending', 20), (1, 'agriculture', 40), (2, 'construction', 15), (3, 'healthcare', 10)) v(q, domain, quota)")
+def domain_quotas(spark, sf):
+    return config.domain_dim(spark, config.parse_config(REGISTRY))
+
+
+@query("SELECT doc_id FROM {documents} ORDER BY doc_id LIMIT 25")
+def head_limit(spark, sf):
+    """The limit is the feature: the first rows in an explicit order."""
+    return select.head(read(spark, sf, "documents").select("doc_id"), ["doc_id"], 25)
+
+
+@query("SELECT 'chat' AS source, count(*) AS n FROM {conversations} UNION ALL SELECT 'web', count(*) FROM {pages}")
+def source_selection(spark, sf):
+    good, _ = select.attempted({"chat": lambda: read(spark, sf, "conversations").select(F.lit("chat").alias("source")), "web": lambda: read(spark, sf, "pages").select(F.lit("web").alias("source")),
+                                "gone": lambda: spark.read.parquet(f"{sf}/no such table.parquet"), "docs": lambda: read(spark, sf, "documents").select(F.lit("docs").alias("source"))})
+    return select.chosen(good, ["chat", "web", "gone"]).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT item_id, text FROM {benchmark}")
+def json_array_scan(spark, sf):
+    at = path(spark, "array")
+    sinks.export_array(read(spark, sf, "benchmark"), at, ["item_id"])
+    return scans.json_array(spark, at, "item_id long, text string")
+
+
+@query("SELECT conv_id, turn, concat('m', CAST(turn % 3 AS varchar)) AS model_file FROM {conversations} WHERE turn % 3 < 2")
+def glob_model_from_stem(spark, sf):
+    root = path(spark, "glob")
+    c = read(spark, sf, "conversations").select("conv_id", "turn")
+    for k in range(3):
+        sinks.export_json(c.filter(F.col("turn") % 3 == k), f"{root}/{k}")
+    rows = spark.read.schema("conv_id long, turn long").json(f"{root}/*/*.json")
+    named = rows.withColumn("model_file", F.concat(F.lit("m"), F.regexp_extract("_metadata.file_path", r"/(\d)/[^/]+$", 1)))
+    return named.filter(F.exists(F.array(F.lit("m0"), F.lit("m1")), lambda n: F.contains(F.col("model_file"), n)))
+
+
+@query("SELECT DISTINCT model_name, 'mcq' AS mode, problem_id FROM {completions}")
+def append_once(spark, sf):
+    at = path(spark, "log")
+    rows = completions(spark, sf).select("model_name", F.lit("mcq").alias("mode"), "problem_id", "raw_output")
+    for _ in range(2):  # a second try adds nothing
+        sinks.append_completions(rows, at)
+    return spark.read.parquet(at).select("model_name", F.col("mode").cast("string").alias("mode"), "problem_id")
+
+
+@query("SELECT model_name, problem_id, max(turn) AS turn FROM {completions} GROUP BY ALL")
+def scores_overwrite(spark, sf):
+    at = path(spark, "scores")
+    last = completions(spark, sf).groupBy("model_name", "problem_id").agg(F.max("turn").alias("turn"))
+    sinks.overwrite_scores(last.withColumn("turn", F.lit(-1).cast("long")), at)
+    sinks.overwrite_scores(last, at)
+    return spark.read.parquet(at).select("model_name", "problem_id", "turn")
+
+
+@query("SELECT problem_id, turn, left(raw_output, 500) AS model_output_excerpt, 1 AS total_score FROM {completions} WHERE turn % 2 = 1")
+def audit_log(spark, sf):
+    at = path(spark, "audit")
+    one = lambda c: F.lit(1).alias(c)
+    rows = completions(spark, sf).select("problem_id", "turn", F.col("raw_output").alias("model_output"), F.lit("p").alias("prompt"), F.lit("r").alias("reasoning"), *map(one, (*models.SCORES, "total_score")))
+    for judge, k in (("j1", 1), ("j2", 0)):
+        some = rows.filter(F.col("turn") % 2 == k).withColumn("problem_id", F.struct("problem_id", "turn"))
+        sinks.append_audit(sinks.audit_rows(some, judge), at)
+    found = scans.audit_scan(spark, at, "judge_model string, problem_id struct<problem_id:long,turn:long>, model_output_excerpt string, score struct<total_score:int>", "j1")
+    return found.select("problem_id.*", "model_output_excerpt", "score.total_score")
+
+
+@query("""SELECT page, count(*) FILTER (WHERE x0 < 480) > 10 AND count(*) FILTER (WHERE x0 >= 520) > 10 AS two_columns FROM
+  (SELECT CAST(floor(event_id / 100) AS bigint) AS page, CAST(user_id % 1000 AS double) AS x0 FROM {events}) GROUP BY page""")
+def layout_columns(spark, sf):
+    words = read(spark, sf, "events").select((F.col("event_id") / 100).cast("long").alias("page"), F.lit(1000.0).alias("width"), (F.col("user_id") % 1000).cast("double").alias("x0"))
+    return scans.two_columns(words)
+
+
+@query("""SELECT video_id, language, sha256(CASE WHEN length(text) > 60 THEN left(text, 60) || chr(10) || '[... transcript truncated ...]' ELSE text END) AS text FROM (
+  SELECT conv_id AS video_id, role AS language, text, row_number() OVER (PARTITION BY conv_id ORDER BY CASE role WHEN 'system' THEN 1 WHEN 'assistant' THEN 2 ELSE 999 END, turn) AS rn FROM {conversations}) WHERE rn = 1""")
+def video_transcripts(spark, sf):
+    rows = read(spark, sf, "conversations").select(F.col("conv_id").alias("video_id"), F.col("role").alias("language"), F.col("turn").alias("ord"), "text")
+    return scans.transcript(rows, ("system", "assistant"), 60).withColumn("text", F.sha2("text", 256))
+
+
+@query("""WITH f AS (SELECT user_id AS video_id, min(CASE event_type WHEN (SELECT min(event_type) FROM {events}) THEN 0 ELSE 1 END) AS step FROM {events} GROUP BY 1)
+  SELECT video_id FROM f WHERE step = 0 OR (SELECT count(*) FROM f WHERE step = 0) < 100000""")
+def video_search(spark, sf):
+    e = read(spark, sf, "events")
+    least = e.agg(F.min("event_type").alias("least"))  # one row
+    found = e.join(F.broadcast(least), how="cross").select(F.col("user_id").alias("video_id"), F.when(F.col("event_type") == F.col("least"), 0).otherwise(1).alias("step"))
+    return scans.video_ids(found, 100_000)
+
+
+@query("SELECT page_id, url LIKE '%1%' AS hit FROM {pages}")
+def cache_lookup(spark, sf):
+    pages = read(spark, sf, "pages")
+    cache = pages.filter(F.contains("url", F.lit("1"))).select(T.cache_key(F.col("url")).alias("key"), F.col("html").alias("body")).dropDuplicates(["key"])
+    hits, misses = scans.cached(pages.select("page_id", T.cache_key(F.col("url")).alias("key")), cache)
+    return hits.select("page_id", F.lit(True).alias("hit")).unionByName(misses.select("page_id", F.lit(False).alias("hit")))
+
+
+@query(r"""SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[\s\v\x{0085}\x{00A0}]+|[\s\v\x{0085}\x{00A0}]+$', '', 'g')), '|') AS materials FROM {documents}""")
+def stripped_materials(spark, sf):
+    rows = read(spark, sf, "documents").select("doc_id", F.split("text", "\n").alias("materials"))
+    return models.with_stripped_materials(rows, "materials").select("doc_id", F.array_join("materials", "|").alias("materials"))
+
+
+@query("SELECT doc_id, format('MI_{:03d}_{:02d}', doc_id, doc_id % 10 + 1) AS instance_id, format('JR-1K-{:03d}-{:02d}', doc_id, doc_id % 10 + 1) AS problem_id FROM {documents}")
+def lineage_ids(spark, sf):
+    d = read(spark, sf, "documents").select("doc_id", select.instance_id(F.format_string("SEED_%03d", "doc_id"), F.col("doc_id") % 10 + 1).alias("instance_id"))
+    return d.withColumn("problem_id", select.problem_id(F.col("instance_id")))
+
+
+@query("SELECT doc_id, CASE WHEN quality = 1 THEN 2 ELSE 0 END + toxic AS total_score FROM {labels}")
+def judge_totals(spark, sf):
+    rows = read(spark, sf, "labels").select("doc_id", F.lit("r").alias("reasoning"), F.col("quality").alias("constraint_adherence"), F.col("quality").alias("inventory_utilization"),
+                                            F.col("toxic").alias("physical_viability"), F.lit(3).alias("total_score"))
+    return models.scored(rows).select("doc_id", "total_score")
