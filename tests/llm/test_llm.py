@@ -338,6 +338,29 @@ def test_best_fit_takes_the_tightest():
     assert n == len(room)
 
 
+def test_packing_ties_and_bounds(spark, monkeypatch):
+    assert packing.best_fit([5, 5, 5, 5], 10) == ([(0, 0), (0, 5), (1, 0), (1, 5)], 2)
+    monkeypatch.setattr(packing, "PIECES_HELD", 4)
+    d = spark.createDataFrame([(i if i % 7 else None, ["", None, "same words", "same words"][i % 4], None, None, None, None, None) for i in range(80)], SCHEMA).coalesce(1)
+    runs = [packing.packed(d).collect() for _ in range(2)]
+    assert runs[0] == runs[1] and len(runs[0]) == 80 and sorted({r["length"] for r in runs[0]}) == [1, 3]
+    for sid in {r["sequence_id"] for r in runs[0]}:
+        at = 0
+        for o, n in sorted((r["offset"], r["length"]) for r in runs[0] if r["sequence_id"] == sid):
+            assert o == at
+            at += n
+
+
+def test_empty_results_and_names(spark, none, docs):
+    assert quality_rules.keep_good(none, none.select("doc_id")).count() == 0 and secrets.redacted(none).count() == 0
+    odd = docs.withColumns({"_text": F.lit("x"), "_h": F.lit(1), "score": F.lit(9.0), "th": F.lit(2), "pos": F.lit(3), "votes": F.lit("v")})
+    for f in (quality_model.quality, line_dedup.line_dedup, simhash.near_dedup, exact_dedup.exact_dedup, packing.packed, secrets.secret_spans):
+        assert f(odd).count() >= docs.count()
+    assert quality_rules.quality_rules(odd, odd.select("doc_id")).count() == docs.count() and sample_pieces.sampled(odd, sample_pieces.piece_model()).count() > 0
+    lab = docs.filter("doc_id IS NOT NULL").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"), F.lit(1).alias("y"))
+    assert toxicity.toxicity(odd, lab).count() == docs.count()
+
+
 def test_token_rollup(spark, docs, none, tmp_path):
     roll = token_counts.Rollup(spark, str(tmp_path))
     rows = token_counts.counted(docs, token_counts.public_versions())
