@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brasstack.scratch import cut
+
 
 def quota(items: DataFrame, quotas: dict[str, int], domains: list[str], target: int, order: str = "ord") -> DataFrame:
     """The first of each domain up to its quota, then the rest domain by domain, cut to target; column place from 1."""
@@ -21,13 +23,18 @@ def quota(items: DataFrame, quotas: dict[str, int], domains: list[str], target:
 
 
 def number(df: DataFrame, order: list[str]) -> DataFrame:
-    """Positions from 1 in a total order, without moving all rows to one task: offsets of range partitions are added."""
+    """df with position, from 1 in a total order, without moving all rows to one task.
+
+    The range-partitioned rows are written once, each with its place in its partition; sizes of partitions and the
+    result are both read from there, because a second range exchange would sample other bounds.
+    """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    local = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))  # a row for each partition
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return local.join(before, "_p").withColumn("position", F.col("_before") + F.col("_k")).drop("_p", "_k", "_before")
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = cut(ranged, "ranged").withColumn("_p", F.shiftright("_at", 33))  # the number of the partition is above, the place in it below
+    sizes = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))  # a row for each of n partitions
+    before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    position = F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1
+    return placed.join(F.broadcast(before), "_p").withColumn("position", position).drop("_p", "_at", "_before")
 
 
 def seed_id(position: Column) -> Column:

@@ -236,9 +236,10 @@ def quota_selection(spark, sf):
     return select.quota(problems(spark, sf).select("problem_id", "domain"), QUOTAS, list(DOMAINS), TARGET, "problem_id")
 
 
-@query("SELECT doc_id, format('SEED_{:03d}', row_number() OVER (ORDER BY source, doc_id)) AS seed_id FROM {documents}")
+@query("SELECT doc_id, lang, n_chars, text, format('SEED_{:03d}', row_number() OVER (ORDER BY source, doc_id)) AS seed_id FROM {documents}")
 def assign_ids(spark, sf):
-    return select.number(read(spark, sf, "documents").select("doc_id", "source"), ["source", "doc_id"]).select("doc_id", select.seed_id(F.col("position")).alias("seed_id"))
+    numbered = select.number(read(spark, sf, "documents"), ["source", "doc_id"])
+    return numbered.select("doc_id", "lang", "n_chars", "text", select.seed_id(F.col("position")).alias("seed_id"))
 
 
 @query("SELECT min(doc_id) AS doc_id FROM {documents} GROUP BY lower(text)")

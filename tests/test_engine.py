@@ -163,6 +163,15 @@ def test_quota_and_numbers(spark):
     got = select.quota(rows, {"b": 2, "a": 1}, ["a", "b"], 6).orderBy("place").collect()
     assert [r["ord"] for r in got] == [1, 2, 0, 3, 6, 9]
     assert [r["position"] for r in select.number(rows, ["ord"]).orderBy("ord").collect()] == list(range(1, 13))
+    assert select.number(rows.limit(0), ["ord"]).count() == 0
+
+
+def test_numbers_of_many_rows_with_other_columns(spark, tmp_path):
+    n = 200_000
+    rows = spark.range(n, numPartitions=9).select((F.col("id") * 7919 % n).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("payload"))
+    select.number(rows, ["k"]).write.parquet(str(tmp_path / "numbered"))
+    got = spark.read.parquet(str(tmp_path / "numbered"))
+    assert got.count() == n and got.filter("position <> k + 1").isEmpty() and got.columns == ["k", "payload", "position"]
 
 
 def test_prices(spark):
