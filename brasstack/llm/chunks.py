@@ -2,17 +2,20 @@
 
 Both tokenizers used here split at white space before they merge anything, so a text's ids are the ids of its chunks
 in a row. Chunks repeat a lot: each is encoded once and kept as bytes (little-endian unsigned 32-bit ids), in a table
-that is emptied when it is full. The results equal those of encoding the whole text (see the tests).
+bounded in bytes. The results equal those of encoding the whole text (see the tests).
 """
 
 from __future__ import annotations
 
 import re
+import sys
 
 import numpy as np
 
-#: Chunks and words kept by one Python worker.
-KEEP = 400_000
+#: Bytes of chunks and their ids that one Python worker keeps.
+KEEP = 96 << 20
+#: Bytes of an entry beside its key and value.
+ENTRY = 110
 #: A Latin word and the ASCII punctuation behind it: apart in any text, and the word's case is folded on its own.
 _CORE = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:-@\\[-`{-~]*)")
 
@@ -25,16 +28,21 @@ def byte_letters() -> dict[int, str]:
 
 
 class _Known(dict):
-    """Ids of chunks as bytes; what is missing is encoded when it is asked for."""
+    """Values of keys; what is missing is worked out when it is asked for. Emptied when it holds `keep` bytes."""
 
     def __init__(self, encode, keep: int):
         super().__init__()
-        self.encode, self.keep = encode, keep
+        self.encode, self.keep, self.held = encode, keep, 0
 
     def __missing__(self, key):
-        if len(self) >= self.keep:
+        out = self.encode(key)
+        size = sys.getsizeof(key) + sys.getsizeof(out) + ENTRY
+        if self.held + size > self.keep:
             self.clear()
-        self[key] = out = self.encode(key)
+            self.held = 0
+        if size <= self.keep // 64:  # a longer one hardly comes again
+            self.held += size
+            self[key] = out
         return out
 
 
@@ -46,8 +54,7 @@ class WordBPE:
 
         self.tok = Tokenizer.from_file(path)
         self.letters = byte_letters()
-        self.words = _Known(self._word, keep)
-        self.known = _Known(self._chunk, 2 * keep)
+        self.known = _Known(self._chunk, keep)
 
     def _word(self, word: str) -> bytes:
         """A folded Latin word, straight from the merges."""
@@ -57,8 +64,10 @@ class WordBPE:
     def _chunk(self, chunk: bytes) -> bytes:
         text = chunk.decode("utf-8", "replace")
         if m := _CORE.fullmatch(text):
-            core = self.words[m[1].lower()]
-            return core + self.known[m[2].encode()] if m[2] else core
+            word, marks = m[1].lower(), m[2]
+            if marks:  # both parts come in other chunks too
+                return self.known[word.encode()] + self.known[marks.encode()]
+            return self._word(word) if word == text else self.known[word.encode()]
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -81,7 +90,7 @@ class ByteBPE:
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
         enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.known = _Known(lambda c: len(enc.encode_ordinary(c)), 2 * keep)
+        self.known = _Known(lambda c: len(enc.encode_ordinary(c)), keep)
 
     def counts(self, texts: list[str | None]) -> list[int]:
         n = self.known.__getitem__

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,12 +63,30 @@ def fewest(rows: DataFrame, key: Column, size: int, n: int) -> DataFrame:
     return rows.orderBy(F.pmod(key, F.lit(1 << 40)), *rows.columns).limit(n)
 
 
-def small_batches(spark: SparkSession) -> None:
+def lean(run):
+    """A function for mapInArrow that gives freed memory back to the system when its task ends. Spark keeps Python workers
+    for later tasks, and those that one stage leaves idle stand beside the workers of the next."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
+def small_batches(spark: SparkSession, most_bytes: int = 16 << 20) -> None:
     """Bound Arrow batches for long texts, where the session's own bounds are wider; narrower ones stay.
 
     A plan reads these settings when it runs, so they must hold in the session of its tables.
     """
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", most_bytes)):
         now = spark.conf.get(key)
         n = int(now.rstrip("bB")) if now.rstrip("bB").lstrip("-").isdigit() else 0
         if n <= 0 or n > most:

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import back, cut, long_id, stay, table
+from .common import back, cut, lean, long_id, stay, table
 
 #: Runs that one merge takes.
 FAN_IN = 8
@@ -51,6 +51,7 @@ def _merge(first: bool):
         out["n"] = np.add.reduceat(c["n"], at)
         return sha[at], out
 
+    @lean
     def run(batches):
         run0 = TaskContext.get().partitionId() if first else -1
         held = None

@@ -2,7 +2,8 @@
 
 Documents longer than a window are first cut into full windows. What is left of each goes, longest first, into the
 open window with the least room that still holds it, found by a segment tree indexed by remaining capacity. Packing
-runs within an input partition, over CHUNK tokens or PIECES_HELD pieces at a time: no shuffle, memory bounded, the same result on a retry.
+runs within an input partition, over CHUNK tokens or PIECES_HELD pieces at a time: no shuffle, the same result on a
+retry. A worker holds at most 96 MB of known chunks, 4 bytes a held token, a batch of BATCH bytes and one text.
 """
 
 from __future__ import annotations
@@ -13,14 +14,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import WordBPE
-from .common import small_batches, table
+from .common import lean, small_batches, table
 
 WINDOW = 2048
 END = 1
 #: Tokens of unfinished windows a task holds before it packs and writes them.
-CHUNK = 16_000_000
+CHUNK = 4_000_000
 #: Pieces it holds then at most.
-PIECES_HELD = 250_000
+PIECES_HELD = 60_000
+#: Bytes of texts that are encoded at a time, unless one text is longer.
+BATCH = 4 << 20
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -82,9 +85,10 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END
     Null texts are empty: they pack their end id alone. Null ids and repeated rows are packed like others; an empty
     table gives no rows; other columns are not read. Every id is in exactly one piece.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, BATCH)
     stop = end.to_bytes(4, "little")
 
+    @lean
     def run(batches):
         tok, seq = WordBPE(tokenizer), TaskContext.get().partitionId() << 40
         rest: list[tuple] = []
@@ -116,11 +120,11 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END
                 yield arrow(full)
             if held >= chunk or len(rest) >= PIECES_HELD:
                 held, rows = 0, packed()
-                for i in range(0, len(rows), 4096):
-                    yield arrow(rows[i : i + 4096])
+                for i in range(0, len(rows), 1024):
+                    yield arrow(rows[i : i + 1024])
         rows = packed()
-        for i in range(0, len(rows), 4096):
-            yield arrow(rows[i : i + 4096])
+        for i in range(0, len(rows), 1024):
+            yield arrow(rows[i : i + 1024])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 
@@ -132,7 +136,8 @@ def word_tokenizer() -> str:
 
 
 def packed(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """pieces() with a digest for the ids."""
+    """pieces() with a digest for the ids. Null texts pack their end id alone, null ids and repeated rows are packed like
+    others, equal lengths go in the order of rows, and an empty table gives no rows."""
     out = pieces(docs, tokenizer or word_tokenizer())
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 

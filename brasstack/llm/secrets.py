@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import lean, small_batches, table
 
 KINDS = ("assign", "access", "hex", "literal")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -137,6 +137,7 @@ def redact(text: str | None, mark: str = "[SECRET]") -> str | None:
 SPANS = "doc_id long, kind array<string>, start array<long>, end array<long>"
 
 
+@lean
 def _scan(batches):
     for b in batches:
         spans = [find(t) for t in b.column("text").to_pylist()]
@@ -159,6 +160,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     names = list(docs.columns)
 
+    @lean
     def run(batches):
         for b in batches:
             i = b.schema.get_field_index("text")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from brasstack.scratch import drop
 
-from .common import BROADCAST_ROWS, back, cut, long_id, small_batches, stay, table
+from .common import BROADCAST_ROWS, back, cut, lean, long_id, small_batches, stay, table
 
 BITS = 2
 WORDS = 3
@@ -59,6 +59,7 @@ def _majority(hashes: list[int]) -> int:
     return int.from_bytes(np.packbits(2 * total > len(hashes)).tobytes(), "big")
 
 
+@lean
 def _fingerprints(batches):
     for b in batches:
         fps = np.array([fingerprint(t) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
@@ -99,6 +100,7 @@ def sub_masks(mask: int) -> list[int]:
     return [mask | part for part in _bits(free, (-(-n // 3), -(-(n - 1) // 3), -(-(n - 2) // 3)))]
 
 
+@lean
 def _verify(batches):
     """Star links of the components that distances of at most BITS make within each group, compared TILE rows at a time."""
     for b in batches:

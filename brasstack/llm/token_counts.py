@@ -39,7 +39,7 @@ def counted(docs: DataFrame, versions: dict[str, tuple[str, str, str]]) -> DataF
     def run(batches):
         made = {}
         for name, (kind, path, pattern) in versions.items():
-            tok = WordBPE(path, 250_000) if kind == "word" else ByteBPE(path, pattern, 250_000)
+            tok = WordBPE(path) if kind == "word" else ByteBPE(path, pattern)
             made[name] = (lambda ts, t=tok: [len(b) // 4 for b in t.encode(ts)]) if kind == "word" else tok.counts
         for b in batches:
             texts = b.column("text").to_pylist()

@@ -291,7 +291,7 @@ def test_tokens_equal_whole_texts():
     from tokenizers import Tokenizer
 
     path = packing.word_tokenizer()
-    whole, mine = Tokenizer.from_file(path), chunks.WordBPE(path, keep=20)
+    whole, mine = Tokenizer.from_file(path), chunks.WordBPE(path, keep=20_000)
     for t, b in zip(ODD + texts(), mine.encode(ODD + texts()), strict=True):
         assert np.frombuffer(b, "<u4").tolist() == whole.encode(t or "", add_special_tokens=False).ids
     file = P.path("byte_bpe_50k.tiktoken")
