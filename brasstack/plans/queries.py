@@ -531,7 +531,28 @@ def id_batches(spark, sf):
     return scans.batches(read(spark, sf, "events"), "user_id")
 
 
-@query()
+#: Here the whole page is within the container, so an entry is ended by the next heading or the page's end.
+_ENTRIES = r"""WITH tok AS (SELECT page_id, unnest(x) AS token, generate_subscripts(x, 1) AS pos FROM (SELECT page_id, regexp_extract_all(
+    regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', '<br>', 'g'), '(?i)<(/?)h1', '<\1h2', 'g'), '<[^>]*>|[^<]+') AS x FROM {pages})),
+  ev AS (SELECT page_id, pos, CASE WHEN token[1] <> '<' THEN 't' WHEN token[2] = '/' THEN 'e' ELSE 's' END AS kind, lower(regexp_extract(token, '^</?([a-zA-Z][^\s/>]*)', 1)) AS name,
+    trim(replace(replace(replace(replace(replace(token, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&nbsp;', chr(160)), '&amp;', '&'), ' ' || chr(10) || chr(9) || chr(13) || chr(160)) AS text FROM tok),
+  f AS (SELECT *, CAST(kind = 's' AND name IN ('h2', 'h3', 'h4', 'h5') AS int) AS head, CASE WHEN name IN ('h2', 'h3', 'h4', 'h5', 'b', 'strong') AND kind <> 't' THEN kind = 's' END AS mark,
+    CASE WHEN name = 'p' AND kind <> 't' THEN kind = 's' END AS pmark FROM ev WHERE kind <> 't' OR text <> ''),
+  g AS (SELECT *, sum(head) OVER w AS entry, coalesce(last_value(mark IGNORE NULLS) OVER w, false) AS open, coalesce(last_value(pmark IGNORE NULLS) OVER w, false) AS inp,
+    sum(CASE WHEN head = 1 OR NOT pmark THEN 1 ELSE 0 END) OVER w AS para FROM f WINDOW w AS (PARTITION BY page_id ORDER BY pos)),
+  h AS (SELECT *, coalesce(lag(open) OVER w, false) AS was, coalesce(lag(inp) OVER w, false) AS wasp FROM g WINDOW w AS (PARTITION BY page_id ORDER BY pos)),
+  i AS (SELECT *, sum(CASE WHEN head = 1 OR (mark AND NOT was) THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY pos) AS heading, coalesce(NOT pmark AND wasp, false) AS flush FROM h),
+  n AS (SELECT page_id, entry, heading, string_agg(text, ' ' ORDER BY pos) FILTER (kind = 't') AS title, min(pos) FILTER (NOT mark AND was) AS named_at FROM i WHERE (kind = 't' AND open) OR (NOT mark AND was) GROUP BY ALL),
+  t AS (SELECT page_id, entry, min(heading) AS named, arg_min(title, heading) AS title, arg_min(named_at, heading) AS named_at FROM n WHERE length(title) >= 5 AND named_at IS NOT NULL GROUP BY ALL),
+  j AS (SELECT i.*, t.title, t.named_at, kind = 't' AND NOT (open AND (named IS NULL OR heading <= named)) AS free FROM i LEFT JOIN t USING (page_id, entry)),
+  pieces AS (SELECT page_id, entry, max(pos) FILTER (flush) AS place, chr(10) AS sep, string_agg(text, ' ' ORDER BY pos) FILTER (kind = 't') AS piece FROM j WHERE (free AND inp) OR flush GROUP BY page_id, entry, para - CAST(flush AS int)
+    UNION ALL SELECT page_id, entry, pos, ' ', text FROM j WHERE free AND NOT inp AND pos > named_at),
+  b AS (SELECT page_id, entry, trim(string_agg(sep || piece, '' ORDER BY place), ' ' || chr(10)) AS body FROM pieces WHERE place IS NOT NULL AND piece <> '' GROUP BY ALL)
+  SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY entry) - 1 AS int) AS pos, coalesce(title, '') AS title, body, CAST(NULL AS varchar) AS innovator, CAST(NULL AS varchar) AS location
+  FROM b LEFT JOIN t USING (page_id, entry) WHERE length(body) >= CASE WHEN title IS NULL THEN 30 ELSE 15 END"""
+
+
+@query(_ENTRIES)
 def newsletter_entries(spark, sf):
     inside = F.concat(F.lit('<div><div class="content">'), F.regexp_replace("html", "(?i)<(/?)h1", "<$1h2"), F.lit("</div></div>"))
     return scans.newsletter_entries(read(spark, sf, "pages").select("page_id", inside.alias("html")))
@@ -546,7 +567,21 @@ def newsletter_links(spark, sf):
     return scans.links(read(spark, sf, "pages"), ["http", "/"])
 
 
-@query()
+_SEGMENTS = r"""WITH t AS (SELECT doc_id AS id, text AS t FROM {documents} WHERE text <> ''),
+  m AS (SELECT id, t, string_split(regexp_replace(t, '(?m)^[\s]*(?:\[?\(?\d{1,3}[\.\)\]]+)\s+', chr(1) || '\0', 'g'), chr(1))[2:] AS numbered,
+    string_split(regexp_replace(regexp_replace(t, '(?m)^[\s]*[A-Z][A-Z\s\-/:,]{4,}$', chr(1) || '\0' || chr(2), 'g'),
+      chr(1) || '([\s]*(?:(?:CHAPTER|SECTION|PART)\s+[IVXLCDM]|[A-Z](?:[A-Z\s\-/:,]{0,2}[A-Z\-/:,])?[\s]*' || chr(2) || '))', '\1', 'g'), chr(1))[2:] AS titled FROM t),
+  p AS (SELECT id, list_filter(list_transform(CASE WHEN len(numbered) >= 3 THEN numbered WHEN len(titled) >= 3 THEN titled ELSE string_split_regex(t, '\n{3,}') END,
+    lambda x: trim(replace(x, chr(2), ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: length(x) >= 100) AS x FROM m),
+  s AS (SELECT id, CAST(generate_subscripts(x, 1) - 1 AS int) AS pos, unnest(x) AS segment FROM p),
+  l AS (SELECT *, regexp_replace(trim(split_part(segment, chr(10), 1)), '^[\[\(]?\d{1,3}[\.\)\]]+\s*', '') AS line FROM s)
+  SELECT id, pos, length(segment) AS n, CASE WHEN length(line) BETWEEN 5 AND 200 THEN line END AS title, """ + ", ".join(
+    f"CASE WHEN regexp_matches(segment, '{x}') THEN trim(regexp_extract(segment, '{x}', 1), ' ' || chr(9) || chr(10)) END AS {k}" for k, x in (
+        ("innovator_name", r"(?i)(?:Innovator\s*[:\-–]\s*|(?:By|Developed\s+by|Invented\s+by)\s+)([A-Z][a-zA-Z\s\.]+)"),
+        ("location", r"(?i)(?:State\s*[:\-–]\s*|(?:from|of)\s+)([A-Za-z\s,]+?)(?:\.|$|\n)"), ("category", r"(?i)(?:Category|Sector|Domain)\s*[:\-–]\s*(.+?)(?:\.|$|\n)"))) + " FROM l"
+
+
+@query(_SEGMENTS)
 def text_segments(spark, sf):
     texts = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     return scans.segments(texts).select("id", "pos", F.length("segment").alias("n"), "title", "innovator_name", "location", "category")
