@@ -55,12 +55,17 @@ def stay(docs: DataFrame, key: Column, lost: DataFrame, twice: DataFrame) -> Dat
     return out.select("_row.*")
 
 
-def fewest(rows: DataFrame, key: Column, size: int, n: int) -> DataFrame:
-    """The n of `size` rows with the smallest hash key, ties by all columns. Rows far above the expected cut are left out
-    first, so that partitions don't each send n rows to one place."""
+def fewest(rows: DataFrame, size: int, n: int) -> DataFrame:
+    """The n of about `size` written rows with the smallest hash of all their columns, ties by the columns themselves.
+
+    Rows far above the expected cut are left out first, so that partitions don't each send n rows to one place; where
+    rows repeat so often that fewer than n came, all are ordered.
+    """
+    key = F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 40))
     if size > 4 * n:
-        rows = rows.filter(F.pmod(key, F.lit(1 << 40)) < int(2 * n / size * (1 << 40)))
-    return rows.orderBy(F.pmod(key, F.lit(1 << 40)), *rows.columns).limit(n)
+        some = rows.filter(key < int(2 * n / size * (1 << 40)))
+        rows = some if some.count() >= n else rows
+    return rows.orderBy(key, *rows.columns).limit(n)
 
 
 def lean(run):

@@ -4,7 +4,7 @@ A line's path in the tree has fixed depth: its token count and its first LEAD to
 A leaf whose lines are all equal has that line as its template. In other leaves a token is constant at its position if
 SHARE of the leaf's lines have it there; the others become <*>. Where at least CONSTANT of a line's tokens behind the
 leading ones, which are equal within a leaf, are constant, the generalised line is its template, else the line is its own. A template found in two or more documents recurs: its
-lines are dropped but in the document with the smallest id.
+lines are dropped but in the first document, by id and hash of the text, which together tell documents apart.
 """
 
 from __future__ import annotations
@@ -22,6 +22,12 @@ MIN_TOKENS = 3
 ANY = "<*>"
 
 
+def _doc():
+    """What tells documents apart; null ids stand as NO_ID."""
+    return F.struct("id", "th")
+
+
+
 def _tokens(m):
     return F.length(m) - F.length(F.replace(m, F.lit(" "), F.lit(""))) + 1
 
@@ -58,7 +64,7 @@ def templates(docs: DataFrame) -> DataFrame:
     """(id, th, pos, template) of every line that lines() gives."""
     found = lines(docs)
     plain = cut(found.select("id", "th", "pos", "leaf", F.xxhash64("leaf", "m").alias("template")), "lines")
-    leaves = plain.groupBy("leaf").agg(F.min("template").alias("a"), F.max("template").alias("b"), F.min("id").alias("c"), F.max("id").alias("d"), F.count(F.lit(1)).alias("total"))
+    leaves = plain.groupBy("leaf").agg(F.min("template").alias("a"), F.max("template").alias("b"), F.min(_doc()).alias("c"), F.max(_doc()).alias("d"), F.count(F.lit(1)).alias("total"))
     mixed = cut(leaves.filter("a <> b AND c <> d").select("leaf", "total"), "mixed")
     n_mixed = mixed.count()
     if not n_mixed:
@@ -83,16 +89,17 @@ def templates(docs: DataFrame) -> DataFrame:
 def dropped(docs: DataFrame) -> DataFrame:
     """(id, th, lost): positions of the lines that go, for the texts that lose any."""
     placed = cut(templates(docs), "templates")
-    recurring = placed.groupBy("template").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first <> last").select("template", "first")
-    gone = placed.join(cut(recurring, "recurring"), "template").filter("id <> first")
+    recurring = placed.groupBy("template").agg(F.min(_doc()).alias("first"), F.max(_doc()).alias("last")).filter("first <> last").select("template", "first")
+    gone = placed.join(cut(recurring, "recurring"), "template").filter("id <> first.id OR th <> first.th")
     return gone.groupBy("id", "th").agg(F.sort_array(F.collect_set("pos")).alias("lost"))
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, n_lines, n_dropped, dropped (line numbers from 0), text without those lines.
 
-    Null texts are empty texts of one line; null ids count as larger than all others; rows that repeat an id and a
-    text lose the same lines; an empty table gives no rows; other columns are not read.
+    Null texts are empty texts of one line; null ids count as larger than all others and, as other ids that repeat, are
+    told apart by a hash of the text, in whose order they follow; rows that repeat an id and a text are one document and lose
+    the same lines; very long texts are read whole; an empty table gives no rows; other columns are not read.
     """
     own = docs.select(long_id().alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     met = own.withColumn("th", F.xxhash64("text")).join(cut(dropped(docs), "lost"), ["id", "th"], "left")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import cut, fewest, small_batches, table
 from .weak import Sparse, dawid_skene, logistic
 
-#: Documents the scorer is fitted on: those with the smallest hash of their id.
+#: Documents the scorer is fitted on: those with the smallest hash of id and features.
 SAMPLE = 12_000
 BUCKETS = 1 << 14
 _SHAPES = ((re.compile(r"[^\W\d_]*[a-zß-öø-ÿ][^\W\d_]*"), "a"), (re.compile(r"[^\W\d_a]+"), "A"), (re.compile(r"\d+"), "0"))
@@ -108,8 +108,7 @@ def learn(rows: DataFrame) -> tuple[np.ndarray, float, dict]:
     post, rates, prior = dawid_skene(patterns, np.array([r["n"] for r in got]))
     label = dict(zip((r["votes"] for r in got), post.tolist(), strict=True))
     # rows of a few numbers, SAMPLE of them however ids repeat
-    own = rows.filter("doc_id IS NOT NULL")
-    fit = fewest(own, F.xxhash64("doc_id"), sum(r["n"] for r in got), SAMPLE).collect()
+    fit = fewest(rows, sum(r["n"] for r in got), SAMPLE).collect()
     if not fit:
         return np.zeros(BUCKETS), 0.0, {}
     y = np.array([label[r["votes"]] for r in fit])

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import cut, fewest, small_batches, table
 from .weak import Sparse, label_model, logistic, unlike
 
-#: Labelled rows of either label used for learning at most: those with the smallest hash of their id.
+#: Labelled rows of either label used for learning at most: those with the smallest hash of id and label.
 PER_LABEL = 8000
 FEATURES = 2048
 VOTERS = 128
@@ -54,7 +54,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     own = own.filter(~held_out("_id")).groupBy("_id").agg(F.max("y").alias("y"))
     own = cut(own, "labelled")
     sizes = dict(own.groupBy("y").count().collect())
-    some = [fewest(own.filter(F.col("y") == k), F.xxhash64("_id"), sizes.get(k, 0), PER_LABEL) for k in (0, 1)]
+    some = [fewest(own.filter(F.col("y") == k), sizes.get(k, 0), PER_LABEL) for k in (0, 1)]
     ids = F.broadcast(some[0].unionAll(some[1]))  # at most 2 * PER_LABEL rows of 12 bytes
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     met = docs.select(F.col("doc_id").cast("long").alias("_id"), text.alias("text")).join(ids, "_id")

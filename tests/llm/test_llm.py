@@ -420,7 +420,8 @@ def brute_lines(rows):
         return " ".join(v) if 1 - v.count(line_dedup.ANY) / len(v) >= line_dedup.CONSTANT else m
 
     found = [(d, k, i, masked(x)) for k, (d, t) in enumerate(rows) for i, x in enumerate((t or "").split("\n"))]
-    found = [(2**63 - 1 if d is None else d, k, i, m) for d, k, i, m in found if m]
+    th = [xxhash.xxh64_intdigest((t or "").encode(), 42) for _, t in rows]
+    found = [((2**63 - 1 if d is None else d, th[k] - (th[k] >> 63 << 64)), k, i, m) for d, k, i, m in found if m]
     leaves = defaultdict(list)
     for d, k, i, m in found:
         leaves[len(m.split(" ")), tuple(m.split(" ")[:3])].append((d, k, i, m))
@@ -451,12 +452,26 @@ def test_line_dedup_equals_brute_force(spark):
     forms = ["user {} logged in from city {}", "error {} at line {} of file main", "the {} is {}", "read 1{} bytes in {} ms", "{} {}", "a b c {} e f g {}"]
     some = [f"t{k}" for k in range(9)] + ["7", "12", "x9"]
     rows = [(i if i % 11 else None, "\n".join(rng.choice(forms).format(rng.choice(some), rng.choice(some)) for _ in range(rng.randint(0, 7)))) for i in range(120)]
-    rows += [(500, None), (501, ""), (502, " \n\t\n")]
-    d = spark.createDataFrame([(k, t, None, None, None, None, None) if i is not None else (None, t, None, None, None, None, None) for k, (i, t) in enumerate(rows)], SCHEMA)
-    own = [(None if i is None else k, t) for k, (i, t) in enumerate(rows)]
-    want = brute_lines(own)
-    got = {r["doc_id"]: r["dropped"] for r in line_dedup.line_dedup(d).collect() if r["doc_id"] is not None}
-    assert got == {k: want[k] for k, (i, _) in enumerate(own) if i is not None} and sum(map(bool, got.values())) > 30
+    rows += [(500, None), (501, ""), (502, " \n\t\n"), (5, "error t1 at line t2 of file main\nown line of five"), rows[7], rows[11]]
+    rows += [(None, f"shared by rows without id\nown text {k * 'x'}") for k in range(6)]
+    d = spark.createDataFrame([(i, t, None, None, None, None, None) for i, t in rows], SCHEMA)
+    want = brute_lines(rows)
+    got = Counter((r["doc_id"], r["text"], r["dropped"]) for r in line_dedup.line_dedup(d).collect())
+    left = lambda t, gone: "\n".join(x for k, x in enumerate((t or "").split("\n")) if str(k) not in gone.split(","))
+    assert got == Counter((i, left(t, want[k]), want[k]) for k, (i, t) in enumerate(rows)) and sum(map(bool, want.values())) > 30
+    assert sum(want[k] == "0" for k in range(len(rows) - 6, len(rows))) == 5
+
+
+def test_samples_of_repeated_ids(spark):
+    from brasstack.llm import common
+
+    rows = spark.range(5000).select(F.lit(7).cast("long").alias("doc_id"), (F.col("id") % 100).alias("votes"))
+    got = common.fewest(rows, 5000, 100).collect()
+    assert len(got) == 100 and len({r["votes"] for r in got}) < 10  # copies of a row have one hash
+    apart = spark.range(5000).select(F.lit(7).cast("long").alias("doc_id"), F.col("id").alias("votes"))
+    assert len({r["votes"] for r in common.fewest(apart, 5000, 100).collect()}) == 100
+    same = spark.range(5000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(1).alias("votes"))
+    assert common.fewest(same, 5000, 100).count() == 100
 
 
 def test_line_dedup(spark, docs, none):
@@ -499,6 +514,19 @@ def test_sampled_pieces(docs, none):
     assert sample_pieces.sampled(none, sample_pieces.piece_model()).count() == 0
 
 
+def test_lattice_memory_is_linear():
+    import tracemalloc
+
+    m = sample_pieces.Pieces(sample_pieces.piece_model())
+    rng = random.Random(6)
+    text = "".join(rng.choices("漢字仮名交文東京都中国人民", k=60_000))
+    tracemalloc.start()
+    lat = sample_pieces.Lattice(text, m)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 << 20 and lat.likeliest()[-1] == len(text) and lat.ids(lat.likeliest()) == lat.best_ids()
+
+
 def test_sampling_follows_the_model(monkeypatch):
     monkeypatch.setattr(sample_pieces, "TEMPER", 0.5)
     m = sample_pieces.Pieces(sample_pieces.piece_model())
@@ -585,7 +613,7 @@ def test_units_solved_at_once_equal_single_ones(monkeypatch):
     m.meet([sample_pieces.units(t or "") for t in some])
     for u in {u for t in some for u in sample_pieces.units(t or "")}:
         one = sample_pieces.Lattice(u, m)
-        assert m.raw[m.known[u]] == one.best[0][2]
+        assert m.raw[m.known[u]] == one.best_ids()
         assert m.lps[m.known[u]] == pytest.approx(min(0.0, one.best[0][0] - one.below[0]), abs=1e-9)
 
 
