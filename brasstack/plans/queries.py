@@ -182,11 +182,18 @@ def partial_semi_join(spark, sf):
 
 _AXES = [f"(VALUES {', '.join(f'({i}, {chr(39)}{v}{chr(39)})' for i, v in enumerate(vs))}) {n[0]}({n[0]}i, {n})" for n, vs in sample.AXES.items()]
 _SPACE = f"SELECT CAST(bi * 9 + ei * 3 + ii AS int) AS ord, budget, environment, infrastructure FROM {_AXES[0]} CROSS JOIN {_AXES[1]} CROSS JOIN {_AXES[2]}"
+_OWN_SPACE = """WITH b AS (SELECT budget, row_number() OVER (ORDER BY budget) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT budget FROM {problems})),
+  e AS (SELECT environment, row_number() OVER (ORDER BY environment) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT environment FROM {problems})),
+  f AS (SELECT infrastructure, row_number() OVER (ORDER BY infrastructure) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT infrastructure FROM {problems}))
+  SELECT CAST((b.i * e.n + e.i) * f.n + f.i AS int) AS ord, budget, environment, infrastructure FROM b, e, f"""
 
 
-@query(_SPACE)
+@query(_OWN_SPACE)
 def constraint_space(spark, sf):
-    return sample.constraint_space(spark)
+    """The axes are the problems' own values, a handful each."""
+    p = problems(spark, sf)
+    found = p.agg(*[F.array_sort(F.collect_set(k)).alias(k) for k in sample.AXES]).first()
+    return sample.constraint_space(spark, {k: tuple(found[k]) for k in sample.AXES})
 
 
 @query("SELECT budget, environment, infrastructure, count(*) AS n FROM {problems} GROUP BY GROUPING SETS ((budget), (environment), (infrastructure))")
@@ -449,9 +456,18 @@ def model_multi_source_union(spark, sf):
     return d.unionByName(p).unionByName(c).filter("n >= 20")
 
 
-@query("SELECT problem_id, domain, budget, environment, infrastructure FROM {problems}")
+def whole_problems(spark, sf):
+    return problems(spark, sf).select("problem_id", "domain", "budget", "environment", "infrastructure", F.array("lang", "source").alias("mcq_options"), F.col("truth").alias("ground_truth_option"), F.col("lang").alias("ground_truth_synthesis_rubric"))
+
+
+@query("SELECT problem_id, domain, budget, environment, infrastructure, lang AS ground_truth_synthesis_rubric FROM {problems}")
 def opengen_projection(spark, sf):
-    return problems(spark, sf).drop("truth", "lang", "source", "text")
+    return sinks.projections(whole_problems(spark, sf))["opengen"]
+
+
+@query("SELECT problem_id, domain, budget, environment, infrastructure, lang || ',' || source AS mcq_options, truth AS ground_truth_option FROM {problems}")
+def mcq_projection(spark, sf):
+    return sinks.projections(whole_problems(spark, sf))["mcq"].withColumn("mcq_options", F.array_join("mcq_options", ","))
 
 
 @query(f"""WITH {_ANSWERED}, {_MET}, {_TWO}, e AS (SELECT model_name, 100 * avg(ok) AS mcq FROM met GROUP BY 1), o AS (SELECT model_name, avg(total_score) / 3 * 100 AS og FROM verified WHERE total_score IS NOT NULL GROUP BY 1)
@@ -612,9 +628,14 @@ def model_registry(spark, sf):
     return config.only(dim, names).select("ord", "tier", "name", "max_tokens")
 
 
-@query("SELECT domain, CAST(row_number() OVER (ORDER BY q) - 1 AS int) AS ord, quota FROM (VALUES (0, 'street_vending', 20), (1, 'agriculture', 40), (2, 'construction', 15), (3, 'healthcare', 10)) v(q, domain, quota)")
+@query("""SELECT v.domain, CAST(q AS int) AS ord, quota, count(p.domain) AS found, count(p.domain) >= quota AS filled FROM (VALUES (0, 'street_vending', 20), (1, 'agriculture', 40), (2, 'construction', 15),
+  (3, 'healthcare', 10)) v(q, domain, quota) LEFT JOIN {problems} p ON p.domain = v.domain GROUP BY v.domain, q, quota""")
 def domain_quotas(spark, sf):
-    return config.domain_dim(spark, config.parse_config(REGISTRY))
+    """What the problems hold of each configured quota."""
+    found = problems(spark, sf).groupBy("domain").agg(F.count(F.lit(1)).alias("found"))
+    dim = config.domain_dim(spark, config.parse_config(REGISTRY))
+    met = dim.join(found, "domain", "left").withColumn("found", F.coalesce("found", F.lit(0)).cast("long"))
+    return met.withColumn("filled", F.col("found") >= F.col("quota"))
 
 
 @query("SELECT doc_id FROM {documents} ORDER BY doc_id LIMIT 25")
@@ -641,11 +662,14 @@ def json_array_scan(spark, sf):
 def glob_model_from_stem(spark, sf):
     root = path(spark, "glob")
     c = read(spark, sf, "conversations").select("conv_id", "turn")
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(root).getFileSystem(spark._jsc.hadoopConfiguration())
     for k in range(3):
-        sinks.export_json(c.filter(F.col("turn") % 3 == k), f"{root}/{k}")
-    rows = spark.read.schema("conv_id long, turn long").json(f"{root}/*/*.json")
-    named = rows.withColumn("model_file", F.concat(F.lit("m"), F.regexp_extract("_metadata.file_path", r"/(\d)/[^/]+$", 1)))
-    return named.filter(F.exists(F.array(F.lit("m0"), F.lit("m1")), lambda n: F.contains(F.col("model_file"), n)))
+        c.filter(F.col("turn") % 3 == k).coalesce(1).write.json(f"{root}/{k}")
+        part = fs.globStatus(fs_path(f"{root}/{k}/part-*"))[0].getPath()
+        fs.rename(part, fs_path(f"{root}/m{k}_mcq_completions.jsonl"))
+    rows = spark.read.schema("conv_id long, turn long").json(f"{root}/*.jsonl")
+    return scans.with_model_from_file(rows, only=["m0", "m1"])
 
 
 @query("SELECT DISTINCT model_name, 'mcq' AS mode, problem_id FROM {completions}")
@@ -692,13 +716,17 @@ def video_transcripts(spark, sf):
     return scans.transcript(rows, ("system", "assistant"), 60).withColumn("text", F.sha2("text", 256))
 
 
-@query("""WITH f AS (SELECT user_id AS video_id, min(CASE event_type WHEN (SELECT min(event_type) FROM {events}) THEN 0 ELSE 1 END) AS step FROM {events} GROUP BY 1)
-  SELECT video_id FROM f WHERE step = 0 OR (SELECT count(*) FROM f WHERE step = 0) < 100000""")
+_SEARCHED = "SELECT user_id AS video_id, CASE WHEN value >= 490 THEN 0 ELSE 1 + user_id % 5 END AS step FROM {events}"
+
+
+@query(f"""WITH f AS (SELECT video_id, min(step) AS step FROM ({_SEARCHED}) GROUP BY 1), c AS (SELECT step, count(*) AS new FROM f GROUP BY step),
+  n AS (SELECT step, coalesce(sum(new) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held FROM c)
+  SELECT video_id FROM f JOIN n USING (step) WHERE held < 30 OR step = 0""")
 def video_search(spark, sf):
+    """The cap is the feature: it is reached behind the first steps, and the later ones are not asked."""
     e = read(spark, sf, "events")
-    least = e.agg(F.min("event_type").alias("least"))  # one row
-    found = e.join(F.broadcast(least), how="cross").select(F.col("user_id").alias("video_id"), F.when(F.col("event_type") == F.col("least"), 0).otherwise(1).alias("step"))
-    return scans.video_ids(found, 100_000)
+    found = e.select(F.col("user_id").alias("video_id"), F.when(F.col("value") >= 490, 0).otherwise(1 + F.col("user_id") % 5).alias("step"))
+    return scans.video_ids(found, 30)
 
 
 @query("SELECT page_id, url LIKE '%1%' AS hit FROM {pages}")
