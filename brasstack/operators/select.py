@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from brasstack.scratch import cut
@@ -115,3 +115,21 @@ def attempted(make: dict) -> tuple[dict[str, DataFrame], dict[str, str]]:
             good.pop(name, None)
             bad[name] = str(e)[:500]
     return good, bad
+
+
+def split_observed(df: DataFrame, rules: dict[str, Column], at: str, by: str = "valid") -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """(good rows, rejected rows with their errors, counts), from one job: rows are checked and written below `at` once, split by
+    validity, and their counts are observed on the way: rows, rejected, and each rule's breaks.
+
+    Raises if there are rows and none is valid; what was written then stays for inspection. Column `by` must not be one of df's.
+    """
+    seen = Observation()
+    broken = [F.count_if(F.array_contains("errors", name)).alias(f"broken_{k}") for k, name in enumerate(rules)]
+    checked = validate(df, rules).withColumnRenamed("valid", by)
+    checked.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(~F.col(by)).alias("rejected"), *broken).write.partitionBy(by).parquet(at)
+    got = seen.get
+    counts = {"rows": got["rows"], "rejected": got["rejected"]} | {name: got[f"broken_{k}"] for k, name in enumerate(rules)}
+    if counts["rows"] and counts["rows"] == counts["rejected"]:
+        raise ValueError(f"no valid row: {counts}")
+    back = df.sparkSession.read.schema(checked.schema).parquet(at)
+    return back.filter(F.col(by)).drop("errors", by), back.filter(~F.col(by)).drop(by), counts
