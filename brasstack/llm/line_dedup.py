@@ -2,9 +2,12 @@
 
 A line's path in the tree has fixed depth: its token count and its first LEAD tokens, tokens with a digit being variable.
 A leaf whose lines are all equal has that line as its template. In other leaves a token is constant at its position if
-SHARE of the leaf's lines have it there; the others become <*>. Where at least CONSTANT of a line's tokens behind the
-leading ones, which are equal within a leaf, are constant, the generalised line is its template, else the line is its own. A template found in two or more documents recurs: its
-lines are dropped but in the first document, by id and hash of the text, which together tell documents apart.
+SHARE of the leaf's lines have it there; the others become <*>. A leaf of many templates has too few such tokens: while
+they are less than CONSTANT of its tokens behind the leading ones, it is split by the tokens at one position, up to DEPTH
+times: the position with the fewest different tokens of those where repeated ones make at least half. Where at least
+CONSTANT of a line's tokens behind the leading ones, which are equal within a leaf, are constant in its part, the
+generalised line is its template, else the line is its own. A template found in two or more documents recurs: its lines
+are dropped but in the first document, by id and hash of the text, which together tell documents apart.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from .common import BROADCAST_ROWS, back, cut, long_id, table
 LEAD = 3
 SHARE = 0.3
 CONSTANT = 0.5
+#: Most splits of a leaf, one after the other.
+DEPTH = 5
 #: Lines of fewer tokens recur only as they are, digits included.
 MIN_TOKENS = 3
 ANY = "<*>"
@@ -60,6 +65,42 @@ def _meet(left: DataFrame, right: DataFrame, on: list[str], how: str, n_right: i
     return left.join(F.broadcast(right) if n_right <= BROADCAST_ROWS else right, on, how)
 
 
+def _placed(rows: DataFrame, first: int) -> DataFrame:
+    """(part, i, token, k, total, n): how often a token stands at position i, from `first` on, of a part's lines."""
+    tokens = rows.select("part", "total", "n", F.posexplode(F.split("m", " ")).alias("i", "token")).filter(F.col("i") >= first)
+    return tokens.groupBy("part", "i", "token").agg(F.count(F.lit(1)).alias("k"), F.max("total").alias("total"), F.max("n").alias("n"))
+
+
+def _often():
+    return (F.col("k") >= 2) & (F.col("k") >= SHARE * F.col("total")) & (F.col("token") != ANY)
+
+
+def _parted(own: DataFrame) -> DataFrame:
+    """own (leaf, total, m, n, ...) with part, and total for it: leaves of many templates in parts.
+
+    All parts that are still open are split at once, so the rounds are DEPTH at most, however many parts there are.
+    """
+    rows, settled = own.withColumn("part", F.col("leaf")), None
+    for _ in range(DEPTH):
+        word = F.col("token") != ANY
+        places = _placed(rows, LEAD).groupBy("part", "i").agg(
+            F.max("total").alias("total"), F.max("n").alias("n"), F.sum(F.when(_often(), F.col("k")).otherwise(0)).alias("fixed"),
+            F.sum(F.when(word & (F.col("k") >= 2), F.col("k")).otherwise(0)).alias("again"), F.count_if(word).alias("kinds"))
+        able = (F.col("kinds") >= 2) & (2 * F.col("again") >= F.col("total"))
+        parts = places.groupBy("part").agg(F.sum("fixed").alias("fixed"), F.max("total").alias("total"), F.max("n").alias("n"), F.min(F.when(able, F.struct("kinds", "i"))).alias("by"))
+        wanting = F.col("by").isNotNull() & (F.col("fixed") < CONSTANT * F.col("total") * (F.col("n") - LEAD))
+        split = cut(parts.filter(wanting).select("part", F.col("by.i").alias("at")), "split")
+        if not (n_split := split.count()):
+            break
+        rest = _meet(rows, split.select("part"), ["part"], "left_anti", n_split)
+        settled = rest if settled is None else settled.unionByName(rest)
+        token = F.split("m", " ")[F.col("at")]
+        inner = cut(_meet(rows.drop("total"), split, ["part"], "inner", n_split).withColumn("part", F.xxhash64("part", "at", token)).drop("at"), "parts")
+        sizes = cut(inner.groupBy("part").agg(F.count(F.lit(1)).alias("total")), "sizes")
+        rows = cut(_meet(inner, sizes, ["part"], "inner", sizes.count()), "parted")
+    return rows if settled is None else rows.unionByName(settled)
+
+
 def templates(docs: DataFrame) -> DataFrame:
     """(id, th, pos, template) of every line that lines() gives."""
     found = lines(docs)
@@ -70,14 +111,11 @@ def templates(docs: DataFrame) -> DataFrame:
     if not n_mixed:
         return plain.drop("leaf")
     rest = _meet(plain, mixed.select("leaf"), ["leaf"], "left_anti", n_mixed).drop("leaf")
-    own = cut(_meet(found, mixed, ["leaf"], "inner", n_mixed), "variable")
-    tokens = own.select("leaf", "total", F.posexplode(F.split("m", " ")).alias("i", "token"))
-    counted = tokens.groupBy("leaf", "i", "token").agg(F.count(F.lit(1)).alias("k"), F.max("total").alias("total"))
-    often = (F.col("k") >= 2) & (F.col("k") >= SHARE * F.col("total")) & (F.col("token") != ANY)
+    own = cut(_parted(cut(_meet(found, mixed, ["leaf"], "inner", n_mixed), "variable")), "own")
     # at most 1 / SHARE tokens at a position
-    spots = counted.groupBy("leaf", "i").agg(F.collect_set(F.when(often, F.col("token"))).alias("tokens"))
-    trees = cut(spots.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("i", "tokens"))).alias("spots")), "trees")
-    met = own.join(trees, "leaf").withColumn("t", F.split("m", " "))
+    spots = _placed(own, 0).groupBy("part", "i").agg(F.collect_set(F.when(_often(), F.col("token"))).alias("tokens"))
+    trees = cut(spots.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("i", "tokens"))).alias("spots")), "trees")
+    met = own.join(trees, "part").withColumn("t", F.split("m", " "))
     kept = F.transform("t", lambda x, i: F.when(F.array_contains(F.col("spots")[i]["tokens"], x), x).otherwise(F.lit(ANY)))
     met = met.select("id", "th", "pos", "leaf", "m", "n", kept.alias("skeleton"))
     # lines of LEAD tokens or fewer are equal within a leaf, so none gets here
