@@ -24,3 +24,12 @@ def test_newsletter_entries_read_references_as_their_sql(spark, tmp_path):
     spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(at)
     got = entry.queries()["newsletter_entries"](spark, str(tmp_path)).collect()
     assert in_order(got) == in_order(by_sql("newsletter_entries", {"pages": at})) and len(got) == 3
+
+
+def test_video_search_returns_every_video(spark, tmp_path):
+    rows = [(u, v) for u in range(200) for v in ((500.0, 1.0) if u % 3 == 0 else (3.0,))]
+    at = str(tmp_path / "events.parquet")
+    spark.createDataFrame(rows, "user_id long, value double").write.parquet(at)
+    got = entry.queries()["video_search"](spark, str(tmp_path)).collect()
+    assert {(r["video_id"], r["step"]) for r in got} == {(u, 0 if u % 3 == 0 else 1 + u % 5) for u in range(200)} and len(got) == 200
+    assert in_order(got) == in_order(by_sql("video_search", {"events": at}))
