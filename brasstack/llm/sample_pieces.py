@@ -1,8 +1,8 @@
 """Segmentations sampled without replacement: Gumbel top-k by a perturbed best-first search.
 
 The model is a piece vocabulary read as a unigram language model: a piece of rank r has log weight
--TEMPER * log(r + 2), a character without a piece is spelt in bytes. A text falls into units no piece crosses (a run of
-spaces with what follows it, a line end), so its lattice is a chain of small ones. A set of segmentations has a
+-TEMPER * log(r + 2), which is Zipf's law, a character without a piece is spelt in bytes. A text falls into units no
+piece crosses (a run of spaces with what follows it, a line end), so its lattice is a chain of small ones. A set of segmentations has a
 Gumbel-perturbed value at its total log probability: the value of its best member. The search starts from the set of
 all; it takes the best set, samples the member that holds the value, and splits the others into sets by the first unit
 at which they leave it, each with a value drawn below. The k best members come out in order, distinct and exact, with
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, table
 
 SAMPLES = 2
-TEMPER = 6.0
+TEMPER = 1.0
 SPACE = "▁"
 _UNIT = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 KEEP = 300_000

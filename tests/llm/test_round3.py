@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 import xxhash
 
-from brasstack.llm import order_minhash, registry
+from brasstack.llm import order_minhash, registry, sample_pieces
 
 
 def signed64(x):
@@ -49,3 +49,14 @@ def test_order_minhash_of_every_position(spark, tmp_path, monkeypatch, near):
     got = {r["doc_id"]: r["fingerprint"] for r in registry.QUERIES["op11_order_minhash"](spark, str(tmp_path)).collect()}
     assert got == {i: "".join(f"{x:04x}" for x in signature(t or "")) for i, t in rows}
     assert got[0] != got[1]
+
+
+def test_samples_leave_the_likeliest_way():
+    m = sample_pieces.Pieces(sample_pieces.piece_model())
+    text = " ".join(("international understanding of unbelievable tokenizations, reinvestigated thoughtfully by grandmothers",) * 20)
+    best = b"".join(m.lattice(u).best_ids() for u in sample_pieces.units(text))
+    runs = sample_pieces.top_ks([text] * 100, list(range(100)), 2, m)
+    assert len({x[3] for r in runs for x in r}) == 200 and not any(x[3] == best for r in runs for x in r)
+    m.meet([sample_pieces.units(text)])
+    log_prob = sum(m.lps[m.known[u]] for u in sample_pieces.units(text))
+    assert log_prob < -5  # with weights raised to the sixth power the likeliest way had nearly all mass
