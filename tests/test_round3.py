@@ -3,6 +3,7 @@
 import random
 
 import duckdb
+import numpy as np
 
 import __spark_entry__ as entry
 from brasstack.operators import dedup
@@ -57,3 +58,11 @@ def test_jaccard_pairs_carry_no_sets(spark, monkeypatch):
         got = dedup.jaccard_pairs(items).collect()
         assert len(got) == len(want) > 100 and {(r["a"], r["b"]): r["similarity"] for r in got} == want
     assert len(joins) == 2
+
+
+def test_least_counts_in_few_bits():
+    rng = np.random.default_rng(1)
+    for most_x, most_y, kind in ((9, 9, "int16"), (90_000, 5, "int16"), (90_000, 90_000, "int32")):
+        x, y = rng.integers(0, most_x, (30, dedup._CLASSES), "int32"), rng.integers(0, most_y, (20, dedup._CLASSES), "int32")
+        got = dedup._least(x, y)
+        assert got.dtype == kind and (got == np.minimum(x[:, None], y[None]).sum(2)).all()
