@@ -66,3 +66,19 @@ def test_least_counts_in_few_bits():
         x, y = rng.integers(0, most_x, (30, dedup._CLASSES), "int32"), rng.integers(0, most_y, (20, dedup._CLASSES), "int32")
         got = dedup._least(x, y)
         assert got.dtype == kind and (got == np.minimum(x[:, None], y[None]).sum(2)).all()
+
+
+def test_common_subsequences_side_by_side():
+    def plain(x, y):
+        row = [0] * (len(y) + 1)
+        for c in x:
+            before = 0
+            for j, e in enumerate(y, 1):
+                before, row[j] = row[j], before + 1 if c == e else max(row[j], row[j - 1])
+        return row[-1]
+
+    rng = random.Random(1)
+    for m in (0, 1, 63, 64, 65, 128, 199):
+        y = "".join(rng.choices("abcdeé漢 ", k=m))
+        some = ["".join(rng.choices("abcdeé漢 xyz", k=rng.choice((0, 1, 30, 64, 100, 250)))) for _ in range(15)] + [y]
+        assert dedup._common(some, y).tolist() == [plain(x, y) for x in some]
